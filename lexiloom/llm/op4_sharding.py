@@ -89,9 +89,9 @@ def minimax_cuts(groups: DataFrame, k: int, start: str = "begin") -> tuple[int,
             at_lo = points[i]
             j = bisect.bisect_right(points, at_hi) - 1
             top = at_hi if points[j] in gaps else points[j]
-            for g in range(i, j + 1):
-                if points[g] in gaps:
-                    open_spans.add((points[g], points[g + 1]))
+            unsure = [g for g in range(i, j + 1) if points[g] in gaps]
+            if unsure:  # one span for each cut, so that the slicing stays a short expression
+                open_spans.add((points[unsure[0]], points[unsure[-1] + 1]))
             at_hi = top
         if not open_spans or low is not None and low == _greedy(points, gaps, total, lo_cap, k, True):
             return hi_cap, _greedy(points, gaps, total, hi_cap, k, False) or []
