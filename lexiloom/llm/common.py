@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, after this package has once been sent to the executors of df's session."""
+    sc = df.sparkSession.sparkContext
+    if getattr(sc, "_lexiloom_sent", None) is None:
+        here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        at = os.path.realpath(tempfile.mkdtemp(prefix="lexiloom-code-"))
+        sc.addPyFile(shutil.make_archive(f"{at}/lexiloom_code", "zip", os.path.dirname(here), os.path.basename(here)))
+        sc._lexiloom_sent = True
+    return df.mapInArrow(fn, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, table
+from .common import arrow_map, cut, discard, table
 from .components import components
 from .words import SPACES, hashes, mix, pieces, shingles, spans
 
@@ -110,11 +110,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     """Those of pairs (a, b) whose full sets are similar enough. Texts are read again for just the ids that
     occur in pairs."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "mh-ids")
-    sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(lambda it: _sets(it, n), "id long, set binary")
+    sets = arrow_map(docs.join(ids, "id", "left_semi").select("id", "text"), lambda it: _sets(it, n), "id long, set binary")
     sets = cut(sets, "mh-sets")
     x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    out = cut(both.mapInArrow(lambda it: _linked(it, percent), "a long, b long"), "mh-links")
+    out = cut(arrow_map(both, lambda it: _linked(it, percent), "a long, b long"), "mh-links")
     discard(sets)
     discard(ids)
     return out
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     no candidate is capped. With 32 bands of 5 a pair at 0.8 is missed once in 300,000.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sk = cut(src.mapInArrow(lambda it: _sketches(it, words), _SKETCH), "mh-sketch")
+    sk = cut(arrow_map(src, lambda it: _sketches(it, words), _SKETCH), "mh-sketch")
     sig = [f"s{i}" for i in range(WORDS64)]
     classes = sk.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(
         F.min("id").alias("rep"), *[F.first(c).alias(c) for c in sig], F.min_by("bands", "id").alias("bands")
