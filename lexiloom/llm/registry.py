@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_warc, op2_url_filters, op3_line_dedup, op4_sharding, op6_langid, op8_minhash, op10_decontaminate
+from . import op1_warc, op2_url_filters, op3_line_dedup, op4_sharding, op6_langid, op7_packing, op8_minhash, op9_toxicity, op10_decontaminate
 
 QUERIES = {
     "op1_warc_revisits": op1_warc.op1_warc_revisits,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup.op3_line_dedup,
     "op4_minimax_sharding": op4_sharding.op4_minimax_sharding,
     "op6_language_id": op6_langid.op6_language_id,
+    "op7_lexical_packing": op7_packing.op7_lexical_packing,
     "op8_minhash_near_dedup": op8_minhash.op8_minhash_near_dedup,
+    "op9_toxicity": op9_toxicity.op9_toxicity,
     "op10_decontamination": op10_decontaminate.op10_decontamination,
 }
 ORACLE = {"op1_warc_revisits": op1_warc.OP1_SQL}
