@@ -43,6 +43,10 @@ class Lines:
         second = np.zeros(n + 1, np.uint64)
         np.cumsum((value ^ (value >> np.uint64(29))) * _SALT * up[:n], out=second[1:])
         s, e = self.start[:-1], self.start[1:]
+        bits = np.uint64(1) << (mix(value[:-1] * _SALT + value[1:]) >> np.uint64(58)) if n > 1 else np.zeros(0, np.uint64)
+        even = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)]) if n > 1 else np.zeros(1, np.uint64)
+        #: Parities of the counts of hashed character pairs; one edit flips four of them at most.
+        self.parity = np.where(self.size > 1, even[np.clip(e - 1, 0, len(even) - 1)] ^ even[np.clip(s, 0, len(even) - 1)], np.uint64(0))
         self.k1 = mix(self.hash(s, e) + self.size.astype(np.uint64))
         self.k2 = mix((second[e] - second[s]) * self.down[s] ^ self.size.astype(np.uint64))
 
@@ -154,9 +158,10 @@ def _signed(batches: Iterator[pa.RecordBatch], edits: int, least: int) -> Iterat
         got = list(signatures(x, edits, least))
         if got:
             keys = np.concatenate([g[1] for g in got])
-            line = x.k1[np.concatenate([g[2] for g in got])]
+            which = np.concatenate([g[2] for g in got])
+            line, parity = x.k1[which], x.parity[which]
             role = np.concatenate([np.full(len(g[1]), g[0]) for g in got])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(line.view(np.int64)), pa.array(role)], names=["key", "line", "entry"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(line.view(np.int64)), pa.array(parity.view(np.int64)), pa.array(role)], names=["key", "line", "parity", "entry"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +191,13 @@ def similar_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     where = cut(arrow_map(src, _occurrences, f"id {kind}, pos long, k1 long, k2 long, chars long"), "ln-where")
-    signed = arrow_map(src.select("id", "text"), lambda it: _signed(it, edits, least), "key long, line long, entry boolean")
-    # an entry also stands for the probe at its own place; one exchange by key serves both sides of the join
-    parted = signed.repartition("key").groupBy("key", "line").agg(F.max("entry").alias("entry"))
-    cand = parted.where("entry").select("key", F.col("line").alias("x")).join(parted.select("key", F.col("line").alias("y")), "key").where("x <> y")
+    signed = arrow_map(src.select("id", "text"), lambda it: _signed(it, edits, least), "key long, line long, parity long, entry boolean")
+    # an entry also stands for the probe at its own place. One exchange by key serves both sides of the join, for which
+    # both keep all its columns; pairs whose parities rule them out never leave the join
+    parted = signed.repartition("key").groupBy("key", "line", "parity").agg(F.max("entry").alias("entry"))
+    x, y = parted.where("entry"), parted.toDF("key", "other", "parity2", "entry2").where("entry2 is not null")
+    near = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity2"))) <= 4 * edits
+    cand = x.join(y, "key").where((F.col("line") != F.col("other")) & near).select(F.col("line").alias("x"), F.col("other").alias("y"))
     cand = cut(cand.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ln-cand")
     need = cut(cand.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "ln-need")
     first = where.join(need, "k1", "left_semi").groupBy("k1").agg(F.min_by(F.struct("id", "pos"), F.struct("id", "pos")).alias("at"))
