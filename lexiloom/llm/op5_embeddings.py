@@ -60,7 +60,7 @@ def robust_graph(x: np.ndarray, pool: int = POOL, degree: int = DEGREE, alpha: f
 
 def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, entry: int, cosine: float, beam: int = BEAM) -> list[np.ndarray]:
     """For each query (a row of x) the nodes with at least that cosine which the search meets. It starts at
-    the medoid `entry`, expands the best unexpanded nodes while one is within the `beam` best or within the range, and
+    the medoid `entry` and the query's own node, expands the best unexpanded nodes while one is within the `beam` best or within the range, and
     so follows the graph over the whole of a dense range."""
     n, width = len(x), max(1, max((len(g) for g in graph), default=1))
     table_ = np.full((n + 1, width), n, np.int32)
@@ -74,6 +74,7 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, en
         done = np.zeros((m, n + 1), bool)
         done[:, n] = True
         sim[:, entry] = x[q] @ x[entry]
+        sim[np.arange(m), q] = 1.0
         live = np.arange(m)
         k = min(beam, n)
         while len(live):
