@@ -130,8 +130,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Repeated rows each give a row; an empty table gives none.
 
     Texts of equal sets are one class from the start, so copies cost one row each and make no pairs. In each
-    band bucket all members are first checked against the smallest; after components of those links, only
-    buckets that still hold several components are joined again, members outside the largest component
+    band bucket members are first checked against the smallest; after components of those links one member of each
+    component is, and then in buckets that still hold several components all members outside the largest
     against those of other components. So a group of near copies makes pairs in proportion to its size, and
     no candidate is capped. With 32 bands of 5 a pair at 0.8 is missed once in 300,000.
     """
@@ -145,30 +145,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     entries = classes.select("rep", F.explode("bands").alias("key"))
     full = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1"), "mh-keys")
     multi = cut(entries.join(full, "key"), "mh-buckets")
-    marks = classes.select("rep", "n", *sig)
-    stars = multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    j = stars.join(marks.select(F.col("rep").alias("a"), F.struct("n", *sig).alias("x")), "a")
-    j = j.join(marks.select(F.col("rep").alias("b"), F.struct("n", *sig).alias("y")), "b")
-    first = cut(j.where(_likely("x", "y", percent)).select("a", "b"), "mh-first")
+    marks = cut(classes.select("rep", "n", *sig), "mh-marks")
+    side = F.struct("n", *sig)
+
+    def likely(pairs: DataFrame, tag: str) -> DataFrame:
+        j = pairs.join(marks.select(F.col("rep").alias("a"), side.alias("x")), "a")
+        j = j.join(marks.select(F.col("rep").alias("b"), side.alias("y")), "b")
+        return cut(j.where(_likely("x", "y", percent)).select("a", "b"), tag)
+
+    def unsettled(buckets: DataFrame, links: DataFrame) -> DataFrame:
+        """key, rep, component and largest (component of the bucket), of buckets with several components."""
+        cc = cut(components(links), "mh-cc").withColumnRenamed("id", "rep")
+        now = cut(buckets.select("key", "rep").join(cc, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "mh-labels")
+        per = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+        top = per.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("m", "component")).alias("largest"))
+        return cut(now.join(cut(top.where("k > 1"), "mh-top"), "key").select("key", "rep", "component", "largest"), "mh-open")
+
+    # each member with the smallest of its buckets' smallest members
+    first = likely(multi.groupBy("rep").agg(F.min("lead").alias("a")).where("rep <> a").select("a", F.col("rep").alias("b")), "mh-first")
     links = _verified(first, src, words, percent)
-    cc = cut(components(links), "mh-cc1")
-    # buckets of two are settled; of the others those with one component are too
-    more = multi.where("c > 2").select("key", "rep").join(cc.withColumnRenamed("id", "rep"), "rep", "left")
-    more = cut(more.withColumn("component", F.coalesce("component", "rep")), "mh-open")
-    per = more.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    top = per.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("m", "component")).alias("largest")).where("k > 1")
-    more = cut(more.join(cut(top, "mh-top"), "key").join(marks, "rep"), "mh-open2")
+    # of each bucket one member of each component with the bucket's smallest
+    more = unsettled(multi, links)
+    heads = more.groupBy("key", "component").agg(F.min("rep").alias("rep"))
+    least = heads.groupBy("key").agg(F.min("rep").alias("a"))
+    second = heads.join(least, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    second = likely(second.join(first, ["a", "b"], "left_anti"), "mh-second")
+    links = links.unionByName(_verified(second, src, words, percent))
+    # and of what is still apart all pairs
+    more = unsettled(more, links).join(marks, "rep")
     side = F.struct("rep", "component", "n", *sig)
-    x = more.where("component <> largest").select("key", side.alias("x"))
-    y = more.select("key", side.alias("y"))
+    x, y = more.where("component <> largest").select("key", side.alias("x")), more.select("key", side.alias("y"))
     apart = (F.col("x.component") != F.col("y.component")) & _likely("x", "y", percent)
-    second = x.join(y, "key").where(apart).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    second = cut(second.join(first, ["a", "b"], "left_anti"), "mh-second")
-    links = links.unionByName(_verified(second, src, words, percent))
-    cc = cut(components(links), "mh-cc2")
+    third = x.join(y, "key").where(apart).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    third = cut(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "mh-third")
+    links = links.unionByName(_verified(third, src, words, percent))
+    cc = cut(components(links), "mh-cc")
     named = classes.select("k1", "k2", "n", "rep").join(cc.withColumnRenamed("id", "rep"), "rep", "left")
     named = cut(named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")), "mh-named")
-    for t in (full, multi, more, first, second, classes):
+    for t in (full, multi, first, second, third, marks, classes):
         discard(t)
     out = sk.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
