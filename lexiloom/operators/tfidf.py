@@ -15,6 +15,8 @@ from ..functions.text import alpha_words, ngrams
 # N-gram sizes, least and most document frequency, features, ridge penalty, inverse logistic penalty,
 # iterations.
 NGRAMS, MIN_DF, MAX_DF, FEATURES, ALPHA, C, ITERATIONS = (1, 2), 2, 0.95, 10_000, 1.0, 1.0, 1000
+#: The solver stops when an iteration betters the objective by a smaller share.
+TOLERANCE = 1e-5
 
 
 def with_ngrams(docs: DataFrame, sizes: tuple[int, int] = NGRAMS) -> DataFrame:
@@ -105,7 +107,7 @@ class TfidfModel:
         return cls(TfidfVectorizer(len(rows)).set([(r["ngram"], r["idf"]) for r in rows]), kind.load(f"{path}/{method}"))
 
 
-def train(docs: DataFrame, method: str = "ridge", features: int = FEATURES, sizes: tuple[int, int] = NGRAMS) -> TfidfModel:
+def train(docs: DataFrame, method: str = "ridge", features: int = FEATURES, sizes: tuple[int, int] = NGRAMS, tol: float = TOLERANCE) -> TfidfModel:
     """Ridge regression or multinomial logistic regression (rating 1 to 5) on TF-IDF features.
 
     Spark divides the penalty by the number of rows and by the deviation of the label; the arguments undo that, so
@@ -119,9 +121,9 @@ def train(docs: DataFrame, method: str = "ridge", features: int = FEATURES, size
         n, spread, high = data.agg(F.count(F.lit(1)), F.stddev_samp("label"), F.max("label")).first()
         if method == "ridge":
             # the normal solver (whole sums, 4096 features at most) scales by the other deviation
-            model = LinearRegression(solver="l-bfgs", elasticNetParam=0.0, standardization=False, regParam=ALPHA * (spread or 0.0) / n, tol=1e-9, maxIter=ITERATIONS).fit(data)
+            model = LinearRegression(solver="l-bfgs", elasticNetParam=0.0, standardization=False, regParam=ALPHA * (spread or 0.0) / n, tol=tol, maxIter=ITERATIONS).fit(data)
         else:
-            model = LogisticRegression(family="multinomial", elasticNetParam=0.0, standardization=False, regParam=1 / (C * n), tol=1e-7, maxIter=ITERATIONS).fit(data.withColumn("label", F.col("label") - 1))
+            model = LogisticRegression(family="multinomial", elasticNetParam=0.0, standardization=False, regParam=1 / (C * n), tol=tol, maxIter=ITERATIONS).fit(data.withColumn("label", F.col("label") - 1))
     finally:
         data.unpersist()
     return TfidfModel(vectorizer, model)
