@@ -110,7 +110,7 @@ def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang in sorted(set(langs)):
                 own = [np.unique(g[bounds[i] : bounds[i + 1]]) for i, x in enumerate(langs) if x == lang]
                 u, c = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "texts"])
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[BloomSlices, str]:
