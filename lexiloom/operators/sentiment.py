@@ -43,7 +43,7 @@ def top_words(stats: DataFrame, n: int = TOP_WORDS) -> DataFrame:
     return stats.orderBy(F.desc("cnt"), "first").limit(n).withColumn("colour", colour(F.col("avg")))
 
 
-def _sized(small: DataFrame, most: int) -> DataFrame:
+def sized(small: DataFrame, most: int) -> DataFrame:
     """small, marked for broadcast when it has `most` rows at most; else the join shuffles (or AQE decides)."""
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
@@ -55,7 +55,7 @@ def predict(reviews: DataFrame, sentiments: DataFrame, overall: DataFrame, stron
     the mean where there is no such occurrence. n_unknown: tokens of such a review that the statistics lack, 0 for
     the others. Every review has one row.
     """
-    known = _sized(sentiments.select("word", "sentiment"), BROADCAST_WORDS)
+    known = sized(sentiments.select("word", "sentiment"), BROADCAST_WORDS)
     marked = occurrences(reviews, words(F.col("text"))).join(known, "word", "left")
     speaks = F.abs("sentiment") > strong
     found = marked.groupBy("review_id").agg(

@@ -51,7 +51,7 @@ def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sigs = kept(spark, sf_dir, "signatures", lambda: L.signatures(docs, "doc_id", L.NEAR[0]).drop("text"), hashes=L.NEAR[0])
-    return sigs, L.classes(sigs, "doc_id")
+    return sigs, kept(spark, sf_dir, "classes", lambda: L.classes(sigs, "doc_id"), hashes=L.NEAR[0])
 
 
 _SIGS = f"WITH {signature_sql('documents', 'doc_id', L.NEAR[0])}"
@@ -75,10 +75,8 @@ def lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate pairs of near_dup_pairs before their similarities, as a count and two sums."""
     groups = _near(spark, sf_dir)[1]
-    pairs = L.candidates(groups, groups, L.NEAR).where("left_id < right_id")
-    a, b = (groups.select(F.col("sig_id").alias(f"{s}_id"), F.col("rep").alias(s)) for s in ("left", "right"))
-    reps = pairs.join(a, "left_id").join(b, "right_id")
-    return reps.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.least("left", "right")).alias("sum_src"), F.sum(F.greatest("left", "right")).alias("sum_dst"))
+    pairs = L.candidates(groups, groups, L.NEAR, "rep").where("left_id < right_id")
+    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("left_id").alias("sum_src"), F.sum("right_id").alias("sum_dst"))
 
 
 @query(f"{_PAIRS} SELECT src, dst, {six_sql('similarity')} AS similarity, n_src, n_dst FROM pairs")
