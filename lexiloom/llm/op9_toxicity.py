@@ -289,6 +289,19 @@ def _altered(word: bytes, rng: np.random.Generator) -> bytes:
     return (word[:i] + bytes([int(rng.integers(1, 27))]) + word[i:])[:LONGEST]
 
 
+def _parts(texts: list[str], chars: int = 1 << 19) -> Iterator[list[str]]:
+    """texts in runs of about `chars` characters: Tokens holds some 80 bytes for each."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def train(texts: list[str], toxic: list[bool], seed: int = 4) -> Machine:
     """Fits the machine on documents' labels.
 
@@ -338,7 +351,8 @@ def train(texts: list[str], toxic: list[bool], seed: int = 4) -> Machine:
     w, machine.bias = _svm(x, lab, c)
     machine.coef = root @ w
     machine.__dict__.pop("_z", None)
-    machine.slope, machine.offset = _platt(machine.decision(Tokens(list(texts))), y.astype(float))
+    values = np.concatenate([machine.decision(Tokens(part)) for part in _parts(texts)])
+    machine.slope, machine.offset = _platt(values, y.astype(float))
     return machine
 
 
