@@ -9,6 +9,7 @@ tokens with a bound of NEAR at least are compared with the landmarks themselves.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -362,16 +363,22 @@ def _scored(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(machine.score(d))], names=["id", "score"])
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled machine of all rows (text, toxic): one task of a sample of bounded size, tried again when lost."""
+    rows = sorted((t, y) for rb in batches for t, y in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()))
+    machine = train([t for t, _ in rows], [y for _, y in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], names=["machine"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Machine:
     """The machine trained on the per_class labelled documents (id, text) of each class (id, toxic) whose
-    hashed id is smallest. Of several labels of a document the largest counts."""
+    hashed id is smallest, in one executor task: the driver gets the machine only. Of several labels of a document the largest counts."""
     one = labels.where("toxic is not null and id is not null").groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
     w = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
     chosen = one.join(docs.select("id").distinct(), "id", "left_semi").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_class).drop("nth")
-    rows = docs.join(F.broadcast(chosen), "id").where("text is not null").select("text", "toxic").distinct().toArrow()
-    order = np.argsort(rows.column("text").to_pylist(), kind="stable")
-    rows = rows.take(pa.array(order))
-    return train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    rows = docs.join(F.broadcast(chosen), "id").where("text is not null").select("text", "toxic").distinct()
+    made = arrow_map(rows.coalesce(1), _trained, "machine binary").collect()
+    return pickle.loads(made[0][0]) if made else train([], [])
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
