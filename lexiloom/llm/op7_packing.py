@@ -24,8 +24,16 @@ from .words import pieces
 
 WINDOW = 4096
 END = 2
-#: Documents of one shard of the index, and tokens of it (a longer document is a shard alone).
-SHARD_DOCS, SHARD_TOKENS = 256, 2_000_000
+#: Documents of one shard of the index, and postings of it (a longer document is a shard alone).
+SHARD_DOCS, SHARD_POSTINGS = 4096, 4_000_000
+#: Lanes that are filled at the same time, at most, and windows of a lane that are aimed at below that.
+MOST_LANES, ROUNDS = 1024, 8
+#: Seeds scored at a time, the most frequent terms, which are scored by a matrix product, and pieces that the
+#: driver keeps before they are written.
+SEED_BLOCK, HOT_TERMS, PLAN_ROWS = 128, 1024, 300_000
+#: BM25 weights are multiples of 1 / SCALE.
+SCALE = 1 << 20
+_FOUND = np.dtype([("seed", "<i4"), ("n", "<i4"), ("rank", "<i8"), ("score", "<f8")])
 K1, B = 1.2, 0.75
 ROUTE_BITS = 16
 #: Words whose ids a worker remembers, at most.
@@ -120,134 +128,255 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """A BM25 inverted index over some documents, with idf and mean length of the whole corpus."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        size = np.array([len(d) for d in docs], np.int64)
-        key = np.concatenate(docs).astype(np.int64)
-        key += np.repeat(np.arange(len(docs), dtype=np.int64) << 16, size)
-        pair, tf = np.unique(key, return_counts=True)
-        doc, term = pair >> 16, pair & 65535
-        w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
-        self.of_doc = np.searchsorted(pair, np.arange(len(docs) + 1, dtype=np.int64) << 16)
-        self.terms = term
+    """A BM25 inverted index over some documents (terms, their counts, lengths), with idf and mean length of the
+    whole corpus. Weights are multiples of 1 / SCALE, so sums are exact and don't depend on how documents are
+    dealt into shards. The terms of `hot` are kept as a dense matrix, all others as postings."""
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], size: np.ndarray, idf: np.ndarray, mean: float, hot: np.ndarray):
+        doc, term, tf = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64), np.concatenate(counts)
+        w = np.rint(SCALE * idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean)))
+        self.n, self.hot, at = len(terms), hot, hot[term]
+        self.dense = np.zeros((self.n, int(hot.max()) + 1))
+        self.dense[doc[at >= 0], at[at >= 0]] = w[at >= 0]
+        doc, term, w = doc[at < 0], term[at < 0], w[at < 0]
         order = np.argsort(term, kind="stable")
         self.posting_doc, self.posting_weight = doc[order], w[order]
         self.begin = np.searchsorted(term[order], np.arange(65537))
-        self.n = len(docs)
 
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document of the shard for all terms of document `seed`."""
-        t = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]]
+    def scores(self, seeds: list[np.ndarray]) -> np.ndarray:
+        """BM25 of every document of the shard for all terms of each seed: one row for each seed."""
+        which, t = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds]), np.concatenate(seeds).astype(np.int64)
+        at = self.hot[t]
+        q = np.zeros((len(seeds), self.dense.shape[1]))
+        q[which[at >= 0], at[at >= 0]] = 1
+        which, t = which[at < 0], t[at < 0]
         lo, size = self.begin[t], self.begin[t + 1] - self.begin[t]
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.bincount(self.posting_doc[at], weights=self.posting_weight[at], minlength=self.n)
+        place = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        cell = np.repeat(which * self.n, size) + self.posting_doc[place]
+        rest = np.bincount(cell, weights=self.posting_weight[place], minlength=len(seeds) * self.n)
+        return q @ self.dense.T + rest.reshape(len(seeds), self.n)
+
+
+def _first(row: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k entries of each row that are first by falling score, then rank; in that order."""
+    order = np.lexsort((rank, -score, row))
+    r = row[order]
+    return order[np.arange(len(r)) - np.searchsorted(r, r) < k]
+
+
+def _probed(batches: Iterator[pa.RecordBatch], bases: dict, used: bytes, seeds: list[np.ndarray], k: int, idf: np.ndarray, mean: float, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each seed the task's k first unused documents, by shards of the index: (seed, found)."""
+    free = np.unpackbits(np.frombuffer(used, np.uint8)) == 0
+    best = np.zeros(0, _FOUND)
+    terms, counts, ranks, size = [], [], [], []
+
+    def probe() -> None:
+        nonlocal best
+        index, rank, n = Shard(terms, counts, np.array(size), idf, mean, hot), np.array(ranks), np.array(size)
+        bar = np.full(len(seeds), -1.0)  # the k-th score so far, if there are k
+        if len(best):
+            full = np.flatnonzero(np.bincount(best["seed"], minlength=len(seeds)) == k)
+            bar[full] = best["score"][np.searchsorted(best["seed"], full, "right") - 1]
+        got = [best]
+        for a in range(0, len(seeds), SEED_BLOCK):
+            score = index.scores(seeds[a : a + SEED_BLOCK])
+            least = bar[a : a + SEED_BLOCK].copy()
+            new = np.flatnonzero(least < 0)
+            if len(new) and index.n > k:
+                least[new] = np.partition(score[new], index.n - k, axis=1)[:, index.n - k]
+            row, col = np.nonzero(score >= least[:, None])
+            some = np.zeros(len(row), _FOUND)
+            some["seed"], some["score"], some["rank"], some["n"] = row + a, score[row, col], rank[col], n[col]
+            got.append(some)
+        every = np.concatenate(got)
+        best = every[_first(every["seed"], every["score"], every["rank"], k)]
+        for x in (terms, counts, ranks, size):
+            x.clear()
+
+    postings = 0
+    for rb in batches:
+        for part, local, n, t, c in zip(*(rb.column(i).to_pylist() for i in range(5)), strict=True):
+            rank = bases[part] + local
+            if free[rank]:
+                if terms and (len(terms) >= SHARD_DOCS or postings + len(t) // 2 > SHARD_POSTINGS):
+                    probe()
+                    postings = 0
+                terms.append(np.frombuffer(t, np.uint16))
+                counts.append(np.frombuffer(c, np.uint32))
+                ranks.append(rank)
+                size.append(n)
+                postings += len(t) // 2
+    if terms:
+        probe()
+    cut_ = np.searchsorted(best["seed"], np.arange(len(seeds) + 1))
+    own = np.flatnonzero(np.diff(cut_))
+    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([best[cut_[i] : cut_[i + 1]].tobytes() for i in own], pa.binary())], names=["seed", "found"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    blobs = [b for rb in batches for b in rb.column(1).to_pylist()]
+    every = np.frombuffer(b"".join(blobs), _FOUND)
+    best = every[_first(every["seed"], every["score"], every["rank"], k)]
+    yield pa.RecordBatch.from_arrays([pa.array([best.tobytes()], pa.binary())], names=["found"])
+
+
+def _terms_of(batches: Iterator[pa.RecordBatch], bases: dict, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        rank = np.array([bases[p] for p in rb.column(0).to_pylist()], np.int64) + rb.column(1).to_numpy()
+        at = pa.array(np.flatnonzero(np.isin(rank, wanted)), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rank).take(at), rb.column(2).take(at), rb.column(3).take(at)], names=["rank", "n", "terms"])
 
 
 class Packer:
-    """Fills windows one after another; what a document has beyond a window's end begins the next one."""
+    """Lanes that fill windows one after another; what a document has beyond a window's end begins its lane's
+    next one. Only ranks and lengths are known here. out: (rank, start, length, sequence, offset)."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window, self.now, self.used, self.sequence, self.out = window, [], 0, 0, []
+    def __init__(self, lanes: int, window: int = WINDOW):
+        self.window, self.sequence, self.out = window, 0, []
+        self.now, self.used = [[] for _ in range(lanes)], [0] * lanes
 
-    def _close(self) -> None:
+    def _close(self, pieces_: list) -> None:
         at = 0
-        for key, start, ids, total in self.now:
-            self.out.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.sequence, at))
-            at += len(ids)
-        self.now, self.used, self.sequence = [], 0, self.sequence + 1
-
-    def add(self, key, ids: np.ndarray) -> bool:
-        """Appends a document; True if a window was filled on the way."""
-        at, filled = 0, False
-        while at < len(ids):
-            part = ids[at : at + self.window - self.used]
-            self.now.append((key, at, part, len(ids)))
-            self.used += len(part)
-            at += len(part)
-            if self.used == self.window:
-                self._close()
-                filled = True
+        for rank, start, n in pieces_:
+            self.out.append((rank, start, n, self.sequence, at))
+            at += n
+        self.sequence += 1
+
+    def add(self, lane: int, rank: int, n: int, start: int = 0) -> bool:
+        """Appends what a document has from start to n; True if a window was filled on the way."""
+        filled = False
+        while start < n:
+            take = min(n - start, self.window - self.used[lane])
+            self.now[lane].append((rank, start, take))
+            self.used[lane] += take
+            start += take
+            if self.used[lane] == self.window:
+                self._close(self.now[lane])
+                self.now[lane], self.used[lane], filled = [], 0, True
         return filled
 
     def finish(self) -> None:
-        """Divides what is left into sequences whose lengths are powers of two, which need no padding."""
-        left, self.now, self.used = self.now, [], 0
-        total = sum(len(p[2]) for p in left)
+        """Joins the lanes' open windows, and divides what is left into sequences whose lengths are powers of
+        two, which need no padding."""
+        for lane in range(1, len(self.now)):
+            left, self.now[lane] = self.now[lane], []
+            for rank, start, n in left:
+                self.add(0, rank, start + n, start)
+        left, total = self.now[0], self.used[0]
         for bit in reversed(range(total.bit_length())):
-            need = total & (1 << bit)
+            need, own = total & (1 << bit), []
             while need:
-                key, start, ids, n = left[0]
-                take = min(need, len(ids))
-                self.now.append((key, start, ids[:take], n))
-                left[0] = (key, start + take, ids[take:], n)
-                if take == len(ids):
+                rank, start, n = left[0]
+                take = min(need, n)
+                own.append((rank, start, take))
+                left[0] = (rank, start + take, n - take)
+                if take == n:
                     left.pop(0)
                 need -= take
-            if self.now:
-                self._close()
-
-
-def pack_shard(packer: Packer, keys: list, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-    """Adds all documents: the first unused one is a seed, its unused neighbours follow by falling score (then
-    in order) until the window is full; the document that was cut there is the next seed."""
-    index = Shard(docs, idf, mean)
-    free = np.ones(len(docs), bool)
-    seed = 0
-    while free.any():
-        if free[seed]:
-            free[seed] = False
-            if packer.add(keys[seed], docs[seed]):
-                continue
-        score = np.where(free, index.scores(seed), -1.0)
-        filled = False
-        for d in np.argsort(-score, kind="stable")[: int(free.sum())]:
-            free[d] = False
-            if packer.add(keys[d], docs[d]):
-                seed, filled = int(d), True
-                break
-        if not filled or packer.used == 0:
-            seed = int(np.argmax(free))
+            if own:
+                self._close(own)
 
 
-def _packed(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, window: int) -> Iterator[pa.RecordBatch]:
-    unzip, pid, packer = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), Packer(window)
-    keys, docs, tokens = [], [], 0
-
-    def rows(kind) -> pa.RecordBatch:
-        cols = list(zip(*packer.out, strict=True)) or [[]] * 7
-        packer.out = []
-        types = [kind, *[pa.int64()] * 6]
-        return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types, strict=True)], pa.array([pid] * len(cols[0]), pa.int32())],
-            names=["id", "start", "length", "ids_crc32", "doc_tokens", "local", "offset", "part"])
-
-    kind = pa.int64()
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one sorted partition with their place in it, distinct terms and counts of these."""
+    unzip, part, local = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0
     for rb in batches:
-        kind = rb.column(0).type
-        for key, v in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
-            ids = np.frombuffer(unzip.decompress(v.as_py()), np.uint16)
-            if docs and (len(docs) >= SHARD_DOCS or tokens + len(ids) > SHARD_TOKENS):
-                pack_shard(packer, keys, docs, idf, mean)
-                keys, docs, tokens = [], [], 0
-                yield rows(kind)
-            keys.append(key)
-            docs.append(ids)
-            tokens += len(ids)
-    if docs:
-        pack_shard(packer, keys, docs, idf, mean)
+        terms, counts = [], []
+        for v in rb.column(2):
+            t, c = np.unique(np.frombuffer(unzip.decompress(v.as_py()), np.uint16), return_counts=True)
+            terms.append(t.tobytes())
+            counts.append(c.astype(np.uint32).tobytes())
+        n = rb.num_rows
+        yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([part] * n, pa.int32()), pa.array(range(local, local + n), pa.int64()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
+            names=["id", "n", "ids", "part", "local", "terms", "counts"])
+        local += n
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, n, ids, pieces) to one row for each piece, with the checksum of its ids."""
+    unzip = zstandard.ZstdDecompressor()
+    for rb in batches:
+        which, rows = [], []
+        for i, (n, v, own) in enumerate(zip(rb.column(1).to_pylist(), rb.column(2), rb.column(3).to_pylist(), strict=True)):
+            ids = np.frombuffer(unzip.decompress(v.as_py()), np.uint16).astype("<u4")
+            for p in own:
+                which.append(i)
+                rows.append((p["start"], p["length"], zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()), n, p["sequence_id"], p["offset"]))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(which, pa.int64())), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+def _plan(index: DataFrame, bases: dict, count: int, total: int, idf: np.ndarray, df: np.ndarray, window: int) -> list[DataFrame]:
+    """Tables (rank, start, length, sequence_id, offset) of all pieces, made in rounds: every shard of the index
+    is probed for the seeds of all lanes, and lanes take what is still unused in turn."""
+    spark, mean = index.sparkSession, total / count
+    hot = np.full(65536, -1)
+    hot[np.argsort(-df, kind="stable")[:HOT_TERMS]] = np.arange(HOT_TERMS)
+    lanes = int(min(MOST_LANES, max(1, total // window // ROUNDS), count))
+    k = int(min(256, max(16, 2 * window / mean)))
+    packer, used, tables = Packer(lanes, window), np.zeros(count, bool), []
+    seed, terms, next_ = [i * count // lanes for i in range(lanes)], [None] * lanes, 0
+    used[seed] = True
+    fresh = set(range(lanes))  # lanes whose seed isn't in a window yet
+
+    def flush() -> None:
+        cols = list(zip(*packer.out, strict=True))
+        packer.out = []
+        rows = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rank", "start", "length", "sequence_id", "offset"])
+        tables.append(cut(spark.createDataFrame(rows), "pack-plan"))
+
+    while fresh or not used.all():
+        for i in range(lanes):
+            if seed[i] is None:
+                next_ += int(np.argmin(used[next_:])) if next_ < count else 0
+                if next_ < count and not used[next_]:
+                    seed[i], terms[i], used[next_] = next_, None, True
+                    fresh.add(i)
+        ask = {seed[i]: i for i in range(lanes) if seed[i] is not None and terms[i] is None}
+        if ask:
+            wanted = np.array(sorted(ask))
+            for r in arrow_map(index.select("part", "local", "n", "terms"), lambda it: _terms_of(it, bases, wanted), "rank long, n long, terms binary").collect():
+                i = ask[r[0]]
+                terms[i] = np.frombuffer(r[2], np.uint16)
+                if i in fresh:
+                    packer.add(i, r[0], r[1])
+                    fresh.discard(i)
+                    if packer.used[i] == 0:
+                        seed[i] = None
+        live = [i for i in range(lanes) if seed[i] is not None]
+        if live and not used.all():
+            bits, q = np.packbits(used).tobytes(), [terms[i] for i in live]
+            found = arrow_map(index.select("part", "local", "n", "terms", "counts"), lambda it: _probed(it, bases, bits, q, k, idf, mean, hot), "seed long, found binary")
+            found = arrow_map(found.repartition("seed"), lambda it: _merged(it, k), "found binary").collect()
+            found = np.concatenate([np.frombuffer(r[0], _FOUND) for r in found])
+            found = found[_first(found["seed"], found["score"], found["rank"], k)]
+            at = np.searchsorted(found["seed"], np.arange(len(live) + 1))
+            for j, i in enumerate(live):
+                for rank, n in found[["rank", "n"]][at[j] : at[j + 1]].tolist():
+                    if not used[rank]:
+                        used[rank] = True
+                        if packer.add(i, rank, n):
+                            seed[i], terms[i] = (rank, None) if packer.used[i] else (None, None)
+                            break
+        if len(packer.out) > PLAN_ROWS:
+            flush()
     packer.finish()
-    yield rows(kind)
+    if packer.out:
+        flush()
+    return tables
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of docs is tokenized whole (no special tokens; a null text is empty) and closed with id END.
-    Documents are range-partitioned by a route that keeps like documents together, and by id, which parts
-    copies of one text; each partition is packed by itself, shard by shard, without padding: full windows,
-    and at its end sequences of powers of two. Document frequencies and mean length come from all documents. Null ids are packed too;
-    repeated rows are packed each; an empty table gives no piece. Driver and broadcast hold one number for each id
-    of the vocabulary.
+    Documents are ranked by a route and by id. In each of a number of lanes a seed's window is filled with its
+    nearest unused documents by BM25 of the whole corpus, ties by rank; the document cut at the window's end is
+    the lane's next seed, or the first unused one if none was cut. Lanes take in turn, and the result doesn't
+    depend on partitions or shards. There is no padding: full windows, and at the end sequences of powers of two.
+    Null ids are packed too; repeated rows are packed each; an empty table gives no piece. The work grows with
+    the number of windows times that of documents. The driver holds one bit for each document, one number for
+    each id of the vocabulary, and the seeds of one round with their neighbours.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
@@ -257,19 +386,25 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id
     df = np.zeros(65536)
     for t, n in arrow_map(tok.select("ids"), _frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
         df[t] = n
-    idf, mean = np.log1p((count - df + 0.5) / (df + 0.5)), (total or 0) / max(1, count)
+    idf = np.log1p((count - df + 0.5) / (df + 0.5))
     order = ["route", "id", "n", "ids"]
-    routed = tok.repartitionByRange(width(spark), *order[:3]).sortWithinPartitions(*order).select("id", "ids")
-    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, local long, offset long, part int"
-    out = cut(arrow_map(routed, lambda it: _packed(it, idf, mean, window), schema), "pack-pieces")
+    ranked = tok.repartitionByRange(width(spark), *order[:3]).sortWithinPartitions(*order).select("id", "n", "ids")
+    index = cut(arrow_map(ranked, _indexed, f"id {kind}, n long, ids binary, part int, local long, terms binary, counts binary"), "pack-index")
     discard(tok)
-    rows, base = [], 0
-    for part, n in sorted((r[0], r[1]) for r in out.groupBy("part").agg(F.max("local") + 1).collect()):
-        rows.append((part, base))
-        base += n
-    bases = spark.createDataFrame(rows, "part int, base long")
-    out = out.join(F.broadcast(bases), "part")
-    return out.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("local")).alias("sequence_id"), "offset")
+    bases, at = {}, 0
+    for part, n in sorted((r[0], r[1]) for r in index.groupBy("part").count().collect()):
+        bases[part] = at
+        at += n
+    tables = _plan(index, bases, count, total, idf, df, window) if count else []
+    none = spark.createDataFrame([], "rank long, start long, length long, sequence_id long, offset long")
+    plan = tables[0] if tables else none
+    for t in tables[1:]:
+        plan = plan.unionByName(t)
+    plan = plan.groupBy("rank").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    base = spark.createDataFrame(sorted(bases.items()), "part int, base long")
+    rows = index.join(F.broadcast(base), "part").select("id", "n", "ids", (F.col("base") + F.col("local")).alias("rank"))
+    out = arrow_map(rows.join(plan, "rank").select("id", "n", "ids", "pieces"), _cut_out, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return out.withColumnRenamed("id", id_col)
 
 
 def default_path() -> str:
