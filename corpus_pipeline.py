@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm import op3_line_dedup, op6_langid, op7_packing, op8_minhash, op10_decontaminate
 from lexiloom.llm.common import cut, table
 
-#: No stage's method can be written in SQL; tests/llm/test_pipeline.py holds run() against brute force.
+#: No stage's method can be written in SQL; tests/llm/test_pipeline.py holds the stages, one by one, against brute force.
 ORACLE_SQL = None
 
 
@@ -18,15 +18,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without text, go: no language can be told. The filters are fitted on the
-    documents' own labels; without any labelled text all documents with a letter stay."""
-    train = docs.select(F.col("doc_id").alias("id"), "text", "lang")
+    """Rows whose text shows no language go: no letter, or too few of its n-grams in the filter of any
+    language. The filters are fitted on two thirds of the documents' own labels, the bars on the rest; without any labelled text all documents with a letter stay."""
+    rest = op6_langid.held_out("doc_id", 3, 1)
     try:
-        filters, usual = op6_langid.fit(train)
+        filters, _ = op6_langid.fit(docs.where(~rest).select(F.col("doc_id").alias("id"), "text", "lang"))
     except ValueError:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    marked = op6_langid.identify(docs, filters, usual)
-    return _without(docs, cut(marked.where("lang_pred = 'und'").select(F.col("doc_id").alias("_gone")).distinct(), "pl-lang")).where("text is not null")
+    return op6_langid.with_language(docs, filters, op6_langid.bars(docs.where(rest), filters))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

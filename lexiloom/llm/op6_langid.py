@@ -27,6 +27,9 @@ RELATIVE = 0.3
 LEAST_TEXTS = 2
 #: Slots for each n-gram of the fullest language (12 and 2 probes: about 2.4 % false positives).
 SLOTS_PER_GRAM, PROBES = 12, 2
+#: A text has a language if its evidence is at least BAR times what all but QUANTILE of that language's held-out
+#: documents of LEAST_GRAMS n-grams have; known from LEAST_JUDGED of them on. At a third, texts in three languages stay.
+BAR, QUANTILE, LEAST_GRAMS, LEAST_JUDGED = 1 / 3, 0.05, 50, 20
 _SEP = np.zeros(256, bool)
 _SEP[[i for i in range(128) if not chr(i).isalpha()]] = True
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
@@ -170,6 +173,52 @@ def identify(docs: DataFrame, filters: BloomSlices, usual: str, id_col: str = "d
     )
 
 
+def _evidence(batch: pa.RecordBatch, filters: BloomSlices) -> tuple[np.ndarray, ...]:
+    """(n-grams, best language, its corrected hits for each n-gram) of each row of a batch with a column `text`."""
+    rb = pa.RecordBatch.from_arrays([_prepared(batch.column(batch.schema.get_field_index("text")))], names=["text"])
+    size, counts = [np.zeros(0)], [np.zeros((0, len(filters.langs)))]
+    for _, data, off in pieces(iter([rb])):
+        g, bounds = _grams(data, off)
+        size.append(np.diff(bounds).astype(float))
+        counts.append(filters.counts(g, bounds))
+    n, c = np.concatenate(size), np.concatenate(counts)
+    return n, c.argmax(axis=1), c.max(axis=1) / np.maximum(n, 1)
+
+
+def _right(batches: Iterator[pa.RecordBatch], filters: BloomSlices) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        n, best, share = _evidence(rb, filters)
+        label = np.array(rb.column(1).to_pylist(), object)
+        at = np.flatnonzero((n >= LEAST_GRAMS) & (np.array(filters.langs, object)[best] == label))
+        yield pa.RecordBatch.from_arrays([pa.array(best[at]), pa.array(share[at])], names=["best", "share"])
+
+
+def bars(labelled: DataFrame, filters: BloomSlices) -> np.ndarray:
+    """For each language of the filters BAR times the QUANTILE of the evidence of its labelled (text, lang)
+    documents, which the filters shouldn't be fitted on. Zero, which rejects nothing, for languages of fewer
+    than LEAST_JUDGED of them. The best language's lead over the next is no measure: texts in two languages
+    have little of it (0.17 for one of sf0.01, where 0.8 is usual) and are no junk."""
+    rows = arrow_map(labelled.where("text is not null and lang is not null").select("text", "lang"), lambda it: _right(it, filters), "best long, share double")
+    out = np.zeros(len(filters.langs))
+    for best, n, share in rows.groupBy("best").agg(F.count(F.lit(1)), F.percentile_approx("share", QUANTILE, 10_000)).collect():
+        if n >= LEAST_JUDGED:
+            out[best] = BAR * share
+    return out
+
+
+def _told(batches: Iterator[pa.RecordBatch], filters: BloomSlices, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        n, best, share = _evidence(rb, filters)
+        slack = 1 / np.sqrt(np.maximum(n, 1))  # two deviations of a share, at most: a short text shows little
+        yield rb.filter(pa.array(share + slack >= least[best]))
+
+
+def with_language(docs: DataFrame, filters: BloomSlices, least: np.ndarray) -> DataFrame:
+    """The rows of docs (with a column `text`) whose text has a letter and reaches the bar of its best language."""
+    some = docs.where(F.col("text").rlike(r"\p{L}"))
+    return arrow_map(some, lambda it: _told(it, filters, least), docs.schema)
+
+
 def held_out(doc_id, modulus: int, left: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == left, F.lit(False))
 

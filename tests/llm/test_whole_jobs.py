@@ -1,11 +1,17 @@
 """Small tests that each job is done over all of its input."""
 
+import base64
+import random
+
 import numpy as np
 
+import corpus_pipeline
 from lexiloom.llm import op7_packing
 
 from .helpers import prose
 
+SF = "/root/testdata/sf0.01"
+
 
 def _packed_in_order(spark, rows, window):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -30,3 +36,16 @@ def test_op7_neighbours_come_from_all_documents(spark):
     w = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[:, None] / size.mean()))
     score = (tf[got[0]] > 0) @ w.T
     assert sum(size) < window and np.all(np.diff(score[got[1:]]) <= 1e-3)
+
+
+def test_pipeline_rejects_texts_without_a_language(spark):
+    """Blobs, key dumps and text of no learned language go; all documents of the table stay."""
+    r = random.Random(5)
+    blob = lambda n: base64.b64encode(r.randbytes(n)).decode()
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randrange(3, 9)))
+    junk = [blob(900), blob(300), " ".join(f"key_{blob(9)}={blob(15)}" for _ in range(40)), " ".join(word("zxqvkjwy") for _ in range(150)), " ".join(word("абвгдежзиклмнопрст") for _ in range(150))]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(900_000 + i, t, "en" if i == 0 else None, "s", len(t)) for i, t in enumerate(junk)] + [(900_100, "12 34", None, "s", 5), (900_101, None, None, "s", 0)]
+    planted = spark.createDataFrame(rows, docs.schema)
+    got = sorted(r[0] for r in corpus_pipeline.language_id(spark, docs.unionByName(planted), SF).select("doc_id").collect())
+    assert got == sorted(r[0] for r in docs.where("text rlike '[a-zA-Z]'").select("doc_id").collect())
