@@ -6,8 +6,10 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,23 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of `key`, which follow one another, as one table."""
+    held: list[pa.RecordBatch] = []
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        k = rb.column(rb.schema.get_field_index(key))
+        cuts = [0, *(pc.indices_nonzero(pc.not_equal(k[1:], k[:-1])).to_numpy() + 1).tolist(), rb.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() != k[a].as_py():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(rb.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)

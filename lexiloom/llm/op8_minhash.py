@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, discard, table
+from .common import arrow_map, cut, discard, runs, table
 from .components import components
 from .words import SPACES, hashes, mix, pieces, shingles, spans
 
@@ -19,6 +19,8 @@ HASHES = BANDS * ROWS
 WORDS64 = HASHES * BITS // 64
 #: Estimates below 0.8 by more than five standard deviations are dropped before the check.
 SLACK = 5
+#: Members, and shingles of members, of a bucket that one task compares at a time; fuller buckets are dealt into cells.
+CELL_ROWS, CELL_SHINGLES = 4096, 2_000_000
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _B = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -120,6 +122,60 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return out
 
 
+def _root(up: np.ndarray, i: int) -> int:
+    while up[i] != i:
+        up[i] = up[up[i]]
+        i = up[i]
+    return i
+
+
+def _cell_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between outsiders and members of one cell of a bucket, no more than join its components: pairs of
+    components that are already joined are skipped, all others are checked on the full sets."""
+    col = {n: rows.column(n).combine_chunks() for n in rows.schema.names}
+    ids, n = col["rep"].to_numpy(), col["n"].to_numpy()
+    sig = np.stack([col[f"s{i}"].to_numpy() for i in range(WORDS64)], axis=1).view(np.uint64)
+    bands = np.array(col["bands"].to_pylist(), np.int64).reshape(len(ids), BANDS)
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in col["set"]]
+    label = np.unique(col["component"].to_numpy(), return_inverse=True)[1]
+    up = np.arange(len(ids))
+    outside, inside = np.flatnonzero(col["outsider"].to_numpy(zero_copy_only=False)), np.flatnonzero(col["member"].to_numpy(zero_copy_only=False))
+    here = col["band"][0].as_py()
+    mask = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+    most = HASHES * (1 - 2.0**-BITS) * (1 - _floor(percent))  # differing values at the floor of the estimate
+    out = []
+    for a in range(0, len(outside), 128):
+        o = outside[a : a + 128]
+        differ = np.zeros((len(o), len(inside)), np.uint16)
+        for w in range(WORDS64):
+            v = sig[o, w][:, None] ^ sig[inside, w][None]
+            fold = v.copy()
+            for k in range(1, BITS):
+                fold |= v >> np.uint64(k)
+            differ += np.bitwise_count(fold & mask)
+        small, big = np.minimum(n[o][:, None], n[inside][None]), np.maximum(n[o][:, None], n[inside][None])
+        x, y = np.nonzero((differ <= most) & (100 * small >= percent * big) & (label[o][:, None] != label[inside][None]))
+        order = np.argsort(differ[x, y], kind="stable")
+        for i, j in zip(o[x[order]].tolist(), inside[y[order]].tolist(), strict=True):
+            p, q = _root(up, label[i]), _root(up, label[j])
+            if p == q or (bands[i, :here] == bands[j, :here]).any():  # a pair is checked in its first common band
+                continue
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort()
+            same = int((both[1:] == both[:-1]).sum())
+            if 100 * same >= percent * (len(both) - same):
+                up[max(p, q)] = min(p, q)
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Cells, whose rows follow one another, to their links."""
+    for cell in runs(batches, "cell"):
+        links = _cell_links(cell, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of docs.
 
@@ -127,13 +183,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     make one shingle; null, empty or blank texts have an empty set and stay alone. Texts are linked when
     100 * intersection >= percent * union, checked on the full sets (as 64-bit hashes). component_id is the
     smallest id reachable; kept marks it. A row with a null id is never linked and has a null component.
-    Repeated rows each give a row; an empty table gives none.
-
-    Texts of equal sets are one class from the start, so copies cost one row each and make no pairs. In each
-    band bucket members are first checked against the smallest; after components of those links one member of each
-    component is, and then in buckets that still hold several components all members outside the largest
-    against those of other components. So a group of near copies makes pairs in proportion to its size, and
-    no candidate is capped. With 32 bands of 5 a pair at 0.8 is missed once in 300,000.
+    Repeated rows each give a row; an empty table gives none. Columns beside id_col and text_col aren't read,
+    so their names don't matter. Whole texts are read, however long.
+
+    Texts of equal sets are one class from the start, so copies cost one row each and make no pairs. Each member
+    of a band bucket is first checked against the smallest of its buckets' smallest members. Buckets that still hold several
+    components are then finished inside Arrow tasks: members outside the bucket's largest component are compared
+    with all members by counting bits of the signatures, and likely pairs of components that aren't joined yet on their full
+    sets. Only the links that join components become rows, so a group of near copies gives rows in proportion to its size.
+    A full bucket is dealt into cells, so none is more than one task holds; no candidate is capped. With 32
+    bands of 5 a pair at 0.8 is missed once in 300,000.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sk = cut(arrow_map(src, lambda it: _sketches(it, words), _SKETCH), "mh-sketch")
@@ -142,47 +201,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         F.min("id").alias("rep"), *[F.first(c).alias(c) for c in sig], F.min_by("bands", "id").alias("bands")
     )
     classes = cut(classes, "mh-classes")
-    entries = classes.select("rep", F.explode("bands").alias("key"))
-    full = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1"), "mh-keys")
-    multi = cut(entries.join(full, "key"), "mh-buckets")
+    entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    full = cut(entries.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1"), "mh-keys")
+    multi = cut(entries.join(full, ["key", "band"]), "mh-buckets")
     marks = cut(classes.select("rep", "n", *sig), "mh-marks")
     side = F.struct("n", *sig)
-
-    def likely(pairs: DataFrame, tag: str) -> DataFrame:
-        j = pairs.join(marks.select(F.col("rep").alias("a"), side.alias("x")), "a")
-        j = j.join(marks.select(F.col("rep").alias("b"), side.alias("y")), "b")
-        return cut(j.where(_likely("x", "y", percent)).select("a", "b"), tag)
-
-    def unsettled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-        """key, rep, component and largest (component of the bucket), of buckets with several components."""
-        cc = cut(components(links), "mh-cc").withColumnRenamed("id", "rep")
-        now = cut(buckets.select("key", "rep").join(cc, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "mh-labels")
-        per = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-        top = per.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("m", "component")).alias("largest"))
-        return cut(now.join(cut(top.where("k > 1"), "mh-top"), "key").select("key", "rep", "component", "largest"), "mh-open")
-
     # each member with the smallest of its buckets' smallest members
-    first = likely(multi.groupBy("rep").agg(F.min("lead").alias("a")).where("rep <> a").select("a", F.col("rep").alias("b")), "mh-first")
+    first = multi.groupBy("rep").agg(F.min("lead").alias("a")).where("rep <> a").select("a", F.col("rep").alias("b"))
+    first = first.join(marks.select(F.col("rep").alias("a"), side.alias("x")), "a").join(marks.select(F.col("rep").alias("b"), side.alias("y")), "b")
+    first = cut(first.where(_likely("x", "y", percent)).select("a", "b"), "mh-first")
     links = _verified(first, src, words, percent)
-    # of each bucket one member of each component with the bucket's smallest
-    more = unsettled(multi, links)
-    heads = more.groupBy("key", "component").agg(F.min("rep").alias("rep"))
-    least = heads.groupBy("key").agg(F.min("rep").alias("a"))
-    second = heads.join(least, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    second = likely(second.join(first, ["a", "b"], "left_anti"), "mh-second")
-    links = links.unionByName(_verified(second, src, words, percent))
-    # and of what is still apart all pairs
-    more = unsettled(more, links).join(marks, "rep")
-    side = F.struct("rep", "component", "n", *sig)
-    x, y = more.where("component <> largest").select("key", side.alias("x")), more.select("key", side.alias("y"))
-    apart = (F.col("x.component") != F.col("y.component")) & _likely("x", "y", percent)
-    third = x.join(y, "key").where(apart).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    third = cut(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "mh-third")
-    links = links.unionByName(_verified(third, src, words, percent))
+    # of buckets with several components those outside the largest with all members
+    cc = cut(components(links), "mh-cc").withColumnRenamed("id", "rep")
+    now = cut(multi.select("key", "band", "rep").join(cc, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "mh-labels")
+    size = now.join(marks.select("rep", "n"), "rep").groupBy("key", "band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    top = size.groupBy("key", "band").agg(
+        F.count(F.lit(1)).alias("k"), F.max_by(F.struct("component", "m", "w"), F.struct("m", "component")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w")
+    )
+    cells = lambda m, w: F.ceil(F.greatest(m / CELL_ROWS, w / CELL_SHINGLES)).cast("int")
+    top = top.where("k > 1").select(
+        "key", "band", F.col("top.component").alias("largest"), cells(F.col("m"), F.col("w")).alias("across"), cells((F.col("m") - F.col("top.m")) * 4, F.col("w") - F.col("top.w")).alias("down")
+    )
+    more = cut(now.join(cut(top, "mh-top"), ["key", "band"]), "mh-open")
+    ids = cut(more.select(F.col("rep").alias("id")).distinct(), "mh-ids")
+    sets = arrow_map(src.join(ids, "id", "left_semi").select("id", "text"), lambda it: _sets(it, words), "id long, set binary")
+    sets = cut(sets.groupBy(F.col("id").alias("rep")).agg(F.first("set").alias("set")), "mh-sets")
+    row, column = F.pmod(F.xxhash64("rep", F.lit(1)), "down").cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), "across").cast("int")
+    out_there = F.col("component") != F.col("largest")
+    as_member = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda d: F.struct(d.alias("d"), column.alias("c")))
+    as_outsider = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda c: F.struct(row.alias("d"), c.alias("c")))
+    dealt = more.withColumn("at", F.explode(F.when(out_there, F.array_union(as_member, as_outsider)).otherwise(as_member)))
+    dealt = dealt.select(
+        F.concat_ws("/", "key", "band", "at.d", "at.c").alias("cell"), "rep", "band", "component",
+        (out_there & (F.col("at.d") == row)).alias("outsider"), (F.col("at.c") == column).alias("member"),
+    )
+    dealt = dealt.join(classes.select("rep", "n", *sig, "bands"), "rep").join(sets, "rep").repartition("cell").sortWithinPartitions("cell", "rep")
+    later = cut(arrow_map(dealt, lambda it: _joined(it, percent), "a long, b long"), "mh-later")
+    links = cut(links.unionByName(later), "mh-links")
     cc = cut(components(links), "mh-cc")
     named = classes.select("k1", "k2", "n", "rep").join(cc.withColumnRenamed("id", "rep"), "rep", "left")
     named = cut(named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")), "mh-named")
-    for t in (full, multi, first, second, third, marks, classes):
+    for t in (full, multi, first, now, more, ids, sets, later, links, cc, marks, classes):
         discard(t)
     out = sk.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
