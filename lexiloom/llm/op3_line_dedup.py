@@ -1,6 +1,6 @@
 """Segment-partition edit join over lines: each line is split into threshold + 1 segments, shorter lines'
 segments are probed by longer lines' substrings at the few places where they can stand, and candidates are
-verified with a banded bit-parallel edit distance."""
+verified with a banded bit-parallel edit distance. Long lines are sequences of words, short ones of characters."""
 
 from __future__ import annotations
 
@@ -8,52 +8,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, discard, table
-from .words import mix, pieces, powers
+from .words import SPACES, hashes, mix, pieces, powers, spans
 
-#: Edits between near-equal lines, at most.
+#: Edits between near-equal lines, at most: of characters in lines of fewer than LEAST_WORDS words, else of words.
 EDITS = 2
-#: Code points of a line, at least, for near-equality; shorter lines are only compared for equality.
+#: One more edit for each WORDS_PER_EDIT words beyond as many, up to MOST_EDITS.
+WORDS_PER_EDIT, MOST_EDITS = 50, 6
+LEAST_WORDS = 12
+#: Code points of a short line, at least, for near-equality; shorter lines are only compared for equality.
 LEAST_CHARS = 20
 #: Documents of candidates that are broadcast instead of joined by a shuffle, at most.
 BROADCAST_IDS = 100_000
+#: Bytes of text that are signed at a time, line keys that a task remembers, and cells of one run of edit distances.
+PIECE, REMEMBERED, CELLS = 1 << 18, 500_000, 2_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-class Lines:
-    """The lines (by \\n, white space at their ends dropped) of a run of texts, as code points with one
-    running hash sum."""
+def allowed(words: np.ndarray) -> np.ndarray:
+    """Edits of words between lines the shorter of which has so many words."""
+    return np.clip(EDITS + (words - WORDS_PER_EDIT) // WORDS_PER_EDIT, EDITS, MOST_EDITS)
 
-    def __init__(self, texts: list[str | None]):
-        rows = [[x.strip() for x in t.split("\n")] if t is not None else [] for t in texts]
-        self.doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.pos = np.concatenate([np.arange(len(r)) for r in rows] + [np.zeros(0, np.int64)]).astype(np.int64)
-        flat = [x for r in rows for x in r]
-        self.size = np.array([len(x) for x in flat], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.size)])
-        self.codes = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = len(self.codes)
+
+class Sequences:
+    """Symbols of lines, one after another, with a running hash sum."""
+
+    def __init__(self, value: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.start, self.size, n = start, size, len(value)
         up, self.down = powers(n + 1)
         self.run = np.zeros(n + 1, np.uint64)
-        value = mix(self.codes.astype(np.uint64) + np.uint64(0x5851F42D))
         np.cumsum(value * up[:n], out=self.run[1:])
-        second = np.zeros(n + 1, np.uint64)
-        np.cumsum((value ^ (value >> np.uint64(29))) * _SALT * up[:n], out=second[1:])
-        s, e = self.start[:-1], self.start[1:]
         bits = np.uint64(1) << (mix(value[:-1] * _SALT + value[1:]) >> np.uint64(58)) if n > 1 else np.zeros(0, np.uint64)
         even = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)]) if n > 1 else np.zeros(1, np.uint64)
-        #: Parities of the counts of hashed character pairs; one edit flips four of them at most.
-        self.parity = np.where(self.size > 1, even[np.clip(e - 1, 0, len(even) - 1)] ^ even[np.clip(s, 0, len(even) - 1)], np.uint64(0))
-        self.k1 = mix(self.hash(s, e) + self.size.astype(np.uint64))
-        self.k2 = mix((second[e] - second[s]) * self.down[s] ^ self.size.astype(np.uint64))
+        last = len(even) - 1
+        #: Parities of the counts of hashed pairs of symbols; one edit flips four of them at most.
+        self.parity = np.where(size > 1, even[np.clip(start + size - 1, 0, last)] ^ even[np.clip(start, 0, last)], np.uint64(0))
 
     def hash(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return (self.run[e] - self.run[s]) * self.down[s]
 
 
+class Lines:
+    """The lines (by \\n, white space at their ends dropped) of a run of texts: their texts, and of each its
+    document, number, key (k1, k2), code points and words."""
+
+    def __init__(self, texts: list[str | None]):
+        rows = [[x.strip() for x in t.split("\n")] if t is not None else [] for t in texts]
+        self.doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.pos = np.concatenate([np.arange(len(r)) for r in rows] + [np.zeros(0, np.int64)]).astype(np.int64)
+        self.flat = [x for r in rows for x in r]
+        self.chars = np.array([len(x) for x in self.flat], np.int64)
+        coded = [x.encode("utf-8", "surrogatepass") for x in self.flat]
+        key = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded)), np.uint64).reshape(-1, 2)
+        self.k1, self.k2 = key[:, 0].copy(), key[:, 1].copy()
+        self.data = np.frombuffer(b"\n".join(coded), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in coded])]).astype(np.int64)
+        off[-1] = len(self.data)
+        self.begin, self.end, self.first = spans(self.data, off, SPACES)
+        self.words = np.diff(self.first) if coded else np.zeros(0, np.int64)
+
+    def by_words(self) -> Sequences:
+        return Sequences(hashes(self.data, self.begin, self.end), self.first[:-1], self.words)
+
+    def by_chars(self, use: np.ndarray) -> Sequences:
+        codes = np.frombuffer("".join(self.flat[i] for i in use).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = self.chars[use]
+        return Sequences(mix(codes.astype(np.uint64) + np.uint64(0x5851F42D)), np.cumsum(size) - size, size)
+
+
 def segments(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of segment i of lines of `length`: the last length % (edits + 1) segments are one longer."""
     base, extra = length // (edits + 1), length % (edits + 1)
@@ -62,31 +88,34 @@ def segments(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.nda
     return start, start + base + (i >= short)
 
 
-def signatures(lines: Lines, edits: int, least: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-    """(is index entry, keys, line numbers): the segments of each line, and its substrings that may equal a
-    segment of another line as long or up to `edits` shorter (multi-match-aware selection of places)."""
-    use = np.flatnonzero(lines.size >= least)
-    at, size = lines.start[use], lines.size[use]
+def signatures(lines: Sequences, edits, least: int, kind: int) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray]]:
+    """(is index entry, threshold, keys, line numbers): the segments of each line of `least` symbols, and its
+    substrings that may equal a segment of another line as long or shorter by as many symbols as the other's
+    threshold (multi-match-aware selection of places). edits: thresholds by sizes; kind: told apart in keys."""
+    longest = int(lines.size.max()) if len(lines.size) else 0
 
     def key(length: np.ndarray, i: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix(lines.hash(s, e) + _SALT * (length.astype(np.uint64) * np.uint64(16) + np.uint64(i)))
-
-    for i in range(edits + 1):
-        s, e = segments(size, i, edits)
-        yield True, key(size, i, at + s, at + e), use
-    for gap in range(edits + 1):
-        other = size - gap
-        fits = other >= least
-        o, a, z, u = other[fits], at[fits], size[fits], use[fits]
-        for i in range(edits + 1):
-            s, e = segments(o, i, edits)
-            lo = np.maximum(np.maximum(s - i, s + gap - (edits - i)), 0)
-            hi = np.minimum(np.minimum(s + i, s + gap + (edits - i)), z - (e - s))
-            for step in range(2 * edits + 1):
-                p = lo + step
-                ok = (p <= hi) if gap else (p <= hi) & (p != s)  # the entry's own place is not repeated
-                if ok.any():
-                    yield False, key(o[ok], i, a[ok] + p[ok], a[ok] + p[ok] + (e - s)[ok]), u[ok]
+        return mix(lines.hash(s, e) + _SALT * (length.astype(np.uint64) * np.uint64(64) + np.uint64(2 * i + kind)))
+
+    for t in np.unique(edits(np.arange(least, longest + 1))).tolist():
+        use = np.flatnonzero((lines.size >= least) & (edits(lines.size) == t))
+        at, size = lines.start[use], lines.size[use]
+        for i in range(t + 1):
+            s, e = segments(size, i, t)
+            yield True, t, key(size, i, at + s, at + e), use
+        for gap in range(t + 1):
+            other = lines.size - gap
+            u = np.flatnonzero((other >= least) & (edits(other) == t))
+            o, a, z = other[u], lines.start[u], lines.size[u]
+            for i in range(t + 1):
+                s, e = segments(o, i, t)
+                lo = np.maximum(np.maximum(s - i, s + gap - (t - i)), 0)
+                hi = np.minimum(np.minimum(s + i, s + gap + (t - i)), z - (e - s))
+                for step in range(2 * t + 1):
+                    p = lo + step
+                    ok = (p <= hi) if gap else (p <= hi) & (p != s)  # the entry's own place is not repeated
+                    if ok.any():
+                        yield False, t, key(o[ok], i, a[ok] + p[ok], a[ok] + p[ok] + (e - s)[ok]), u[ok]
 
 
 def edit_within(x: list[np.ndarray], y: list[np.ndarray], edits: int) -> np.ndarray:
@@ -100,16 +129,20 @@ def edit_within(x: list[np.ndarray], y: list[np.ndarray], edits: int) -> np.ndar
     out = np.zeros(n, bool)
     live = np.flatnonzero(m - k <= edits)
     live = live[np.argsort(k[live], kind="stable")]
-    for c in range(0, len(live), 512):
-        part = live[c : c + 512]
+    c = 0
+    while c < len(live):
+        end = min(c + 512, len(live))
+        while end - c > 1 and (end - c) * k[live[end - 1]] > CELLS:
+            end = c + (end - c) // 2
+        part, c = live[c:end], end
         out[part] = _band([long[i] for i in part], [short[i] for i in part], m[part], k[part], edits) <= edits
     return out
 
 
 def _band(long: list[np.ndarray], short: list[np.ndarray], m: np.ndarray, k: np.ndarray, t: int) -> np.ndarray:
     n, width = len(long), 2 * t + 1
-    a = np.full((n, int(max(m.max(), k.max())) + 2 * width), 0xFFFFFFFF, np.uint32)
-    b = np.full((n, int(k.max()) + 1), 0xFFFFFFFE, np.uint32)
+    a = np.full((n, int(max(m.max(), k.max())) + 2 * width), 2**64 - 1, np.uint64)
+    b = np.full((n, int(k.max()) + 1), 2**64 - 2, np.uint64)
     for i in range(n):
         a[i, t : t + m[i]] = long[i]
         b[i, : k[i]] = short[i]
@@ -136,32 +169,57 @@ def _band(long: list[np.ndarray], short: list[np.ndarray], m: np.ndarray, k: np.
     return dist
 
 
+def near_equal(x: list[str], y: list[str]) -> np.ndarray:
+    """For each pair of lines whether it is near-equal: by words (A-Z as a-z) if both have LEAST_WORDS of them,
+    else by characters, if both have LEAST_CHARS."""
+    known: dict[bytes, int] = {}
+    p, q = ([np.array([known.setdefault(w, len(known)) for w in v.encode("utf-8", "surrogatepass").lower().split()], np.uint64) for v in side] for side in (x, y))
+    least = np.array([min(len(a), len(b)) for a, b in zip(p, q, strict=True)], np.int64)
+    out, by_word = np.zeros(len(x), bool), least >= LEAST_WORDS
+    for t in np.unique(allowed(least[by_word])).tolist():
+        at = np.flatnonzero(by_word & (allowed(least) == t))
+        out[at] = edit_within([p[i] for i in at], [q[i] for i in at], t)
+    at = [i for i in np.flatnonzero(~by_word) if min(len(x[i]), len(y[i])) >= LEAST_CHARS]
+    codes = [[np.frombuffer(v[i].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for i in at] for v in (x, y)]
+    out[at] = edit_within(*codes, EDITS)
+    return out
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, _, _ in pieces(batches):
-        x = Lines(rows.column(1).to_pylist())
+    for rows, _, _ in pieces(batches, budget=PIECE):
+        x = Lines(rows.column(2).to_pylist())
+        at = pa.array(x.doc)
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0).take(pa.array(x.doc)), pa.array(x.pos), pa.array(x.k1.view(np.int64)), pa.array(x.k2.view(np.int64)), pa.array(x.size)],
-            names=["id", "pos", "k1", "k2", "chars"],
+            [rows.column(0).take(at), rows.column(1).take(at), pa.array(x.pos), pa.array(x.k1.view(np.int64)), pa.array(x.k2.view(np.int64)), pa.array(x.chars)],
+            names=["row", "id", "pos", "k1", "k2", "chars"],
         )
 
 
-def _signed(batches: Iterator[pa.RecordBatch], edits: int, least: int) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # lines already given by this task; bounded, for later stages drop what is given twice
-    for rows, _, _ in pieces(batches):
-        x = Lines(rows.column(1).to_pylist())
-        _, first = np.unique(x.k1, return_index=True)
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(0, np.uint64)  # lines already given by this task; bounded, for later stages drop what is given twice
+    for rows, _, _ in pieces(batches, budget=PIECE):
+        x = Lines(rows.column(2).to_pylist())
+        once, first = np.unique(x.k1, return_index=True)
+        place = np.minimum(np.searchsorted(seen, once), max(0, len(seen) - 1))
+        new = seen[place] != once if len(seen) else np.ones(len(once), bool)
+        if len(seen) < REMEMBERED:
+            seen = np.sort(np.concatenate([seen, once[new]]))
         fresh = np.zeros(len(x.k1), bool)
-        fresh[[i for i in first if int(x.k1[i]) not in seen]] = True
-        if len(seen) < 500_000:
-            seen.update(x.k1[fresh].tolist())
-        x.size = np.where(fresh, x.size, -1)
-        got = list(signatures(x, edits, least))
-        if got:
-            keys = np.concatenate([g[1] for g in got])
-            which = np.concatenate([g[2] for g in got])
-            line, parity = x.k1[which], x.parity[which]
-            role = np.concatenate([np.full(len(g[1]), g[0]) for g in got])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(line.view(np.int64)), pa.array(parity.view(np.int64)), pa.array(role)], names=["key", "line", "parity", "entry"])
+        fresh[first[new]] = True
+        words = x.by_words()
+        words.size = np.where(fresh, words.size, -1)
+        short = np.flatnonzero(fresh & (x.words < LEAST_WORDS + EDITS) & (x.chars >= LEAST_CHARS))
+        chars = x.by_chars(short)
+        got = [(g, words.parity[g[3]], g[3]) for g in signatures(words, allowed, LEAST_WORDS, 0)]
+        got += [(g, chars.parity[g[3]], short[g[3]]) for g in signatures(chars, lambda n: np.full(np.shape(n), EDITS), LEAST_CHARS, 1)]
+        for part in (got[i : i + 24] for i in range(0, len(got), 24)):
+            size = [len(line) for _, _, line in part]
+            key = np.concatenate([g[2] for g, _, _ in part])
+            parity, line = np.concatenate([v for _, v, _ in part]), x.k1[np.concatenate([v for _, _, v in part])]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(v.view(np.int64)) for v in (key, line, parity)], pa.array(np.repeat([g[1] for g, _, _ in part], size).astype(np.int8)), pa.array(np.repeat([g[0] for g, _, _ in part], size))],
+                names=["key", "line", "parity", "edits", "entry"],
+            )
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,82 +233,100 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(out, pa.string())], names=["line", "words"])
 
 
-def _close(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
-        x, y = ([np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) for v in rb.column(i).to_pylist()] for i in (2, 3))
-        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1)], names=["a", "b"]).filter(pa.array(edit_within(x, y, edits)))
+        for a in range(0, rb.num_rows, 2048):
+            part = rb.slice(a, 2048)
+            yield part.select(["a", "b"]).filter(pa.array(near_equal(part.column(2).to_pylist(), part.column(3).to_pylist())))
 
 
-def similar_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(occurrences, pairs). occurrences: id, pos, k1, k2 (the line's key), chars of each line of docs. pairs:
-    a, b (k1 of distinct lines) of edit distance 1 to `edits`.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written, with a number for each row in a column of a name that docs hasn't; the column's name."""
+    name = "_row"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "ln-rows"), name
+
+
+def similar_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, pairs) of the lines of rows (row, id, text). occurrences: row, id, pos, k1, k2 (the line's
+    key), chars. pairs: a, b (k1 of distinct lines that are near-equal).
 
     Lines are compared without white space at their ends. A copy of a line adds no pair: classes of equal lines are
     joined, not their members. Null texts have no line; an empty text has one empty line.
     """
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = rows.select("row", "id", "text")
     kind = src.schema["id"].dataType.simpleString()
-    where = cut(arrow_map(src, _occurrences, f"id {kind}, pos long, k1 long, k2 long, chars long"), "ln-where")
-    signed = arrow_map(src.select("id", "text"), lambda it: _signed(it, edits, least), "key long, line long, parity long, entry boolean")
-    # an entry also stands for the probe at its own place. One exchange by key serves both sides of the join, for which
-    # both keep all its columns; pairs whose parities rule them out never leave the join
-    parted = signed.repartition("key").groupBy("key", "line", "parity").agg(F.max("entry").alias("entry"))
-    x, y = parted.where("entry"), parted.toDF("key", "other", "parity2", "entry2").where("entry2 is not null")
-    near = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity2"))) <= 4 * edits
-    cand = x.join(y, "key").where((F.col("line") != F.col("other")) & near).select(F.col("line").alias("x"), F.col("other").alias("y"))
-    cand = cut(cand.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "ln-cand")
+    where = cut(arrow_map(src, _occurrences, f"row long, id {kind}, pos long, k1 long, k2 long, chars long"), "ln-where")
+    signed = arrow_map(src, _signed, "key long, line long, parity long, edits byte, entry boolean")
+    # An entry also stands for the probe at its own place. Both sides use all columns and no condition is on one
+    # side only, so one exchange serves both; it is the join's own, which AQE may split where a segment is frequent.
+    # Pairs whose parities rule them out never leave the join.
+    x, y = signed.toDF("key", "a", "pa", "ea", "ia"), signed.toDF("key", "b", "pb", "eb", "ib")
+    edits = F.greatest(F.when(F.col("ia"), F.col("ea")), F.when(F.col("ib"), F.col("eb")))
+    cand = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * edits)).select("a", "b")
+    cand = cut(cand.distinct(), "ln-cand")
     need = cut(cand.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "ln-need")
-    first = where.join(need, "k1", "left_semi").groupBy("k1").agg(F.min_by(F.struct("id", "pos"), F.struct("id", "pos")).alias("at"))
-    per = cut(first.groupBy("at.id").agg(F.collect_list("at.pos").alias("ps"), F.collect_list("k1").alias("ks")), "ln-fetch")
+    first = where.join(need, "k1", "left_semi").groupBy("k1").agg(F.min(F.struct("row", "pos")).alias("at"))
+    per = cut(first.groupBy("at.row").agg(F.collect_list("at.pos").alias("ps"), F.collect_list("k1").alias("ks")), "ln-fetch")
     small = per.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = src.join(F.broadcast(per) if small else per, "id").select("id", "text", "ps", "ks")
-    texts = cut(arrow_map(texts, _chosen, "line long, words string").dropDuplicates(["line"]), "ln-texts")
+    texts = src.join(F.broadcast(per) if small else per, "row").select("row", "text", "ps", "ks")
+    texts = cut(arrow_map(texts, _chosen, "line long, words string"), "ln-texts")
     both = cand.join(texts.select(F.col("line").alias("a"), F.col("words").alias("x")), "a")
     both = both.join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
-    pairs = cut(arrow_map(both, lambda it: _close(it, edits), "a long, b long"), "ln-pairs")
+    pairs = cut(arrow_map(both, _close, "a long, b long"), "ln-pairs")
     for t in (cand, need, per, texts):
         discard(t)
     return where, pairs
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_copies, n_near, dropped): for each distinct id of docs its lines, how many of them are
-    copies of earlier lines or, being no copies, within `edits` of an earlier line, and their numbers.
-
-    Earlier means by (id, line number), nulls first. A line goes if an equal or near-equal line comes earlier
-    anywhere in docs; empty lines stay. Near-equality needs `least` code points. Rows of one id are one
-    document. A null text has no line; an empty table gives none.
-    """
-    where, pairs = similar_lines(docs, edits, least, id_col, text_col)
-    real = where.where("chars > 0")
-    lines = cut(real.groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("c")), "ln-lines")
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(row, n_lines, n_copies, n_near, dropped) of those of rows (row, id, text) that have a line."""
+    where, pairs = similar_lines(rows)
+    real, place = where.where("chars > 0"), F.struct("id", "row", "pos")
+    lines = cut(real.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "ln-lines")
     heads = lines.select("k1", "first")
     j = pairs.join(heads.select(F.col("k1").alias("a"), F.col("first").alias("fa")), "a").join(heads.select(F.col("k1").alias("b"), F.col("first").alias("fb")), "b")
     near = cut(j.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("k1")).distinct(), "ln-near")
     bad = lines.join(near.withColumn("near", F.lit(True)), "k1", "left").where("c > 1 or near")
-    bad = cut(bad.select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")), "ln-bad")
-    gone = real.join(bad, ["k1", "k2"]).withColumn("copy", ~F.struct("id", "pos").eqNullSafe(F.col("first"))).where("near or copy")
-    per = gone.groupBy("id").agg(
-        F.countDistinct(F.when(F.col("copy"), F.col("pos"))).alias("n_copies"), F.countDistinct(F.when(~F.col("copy"), F.col("pos"))).alias("n_near"),
-        F.sort_array(F.collect_set("pos")).alias("dropped"),
-    )
-    base = where.groupBy("id").agg((F.max("pos") + 1).alias("n_lines"))
-    ids = docs.select(F.col(id_col).alias("id")).distinct()
-    out = ids.join(base, ids["id"].eqNullSafe(base["id"]), "left").drop(base["id"])
-    per = per.withColumnRenamed("id", "pid")
-    out = out.join(per, F.col("id").eqNullSafe(F.col("pid")), "left").drop("pid")
+    bad = cut(bad.select("k1", "k2", F.col("first.row").alias("frow"), F.col("first.pos").alias("fpos"), F.coalesce("near", F.lit(False)).alias("near")), "ln-bad")
+    gone = real.join(bad, ["k1", "k2"]).withColumn("copy", (F.col("row") != F.col("frow")) | (F.col("pos") != F.col("fpos"))).where("near or copy")
+    per = gone.groupBy("row").agg(F.count_if("copy").alias("n_copies"), F.count_if(~F.col("copy")).alias("n_near"), F.sort_array(F.collect_list("pos")).alias("dropped"))
+    base = where.groupBy("row").agg((F.max("pos") + 1).alias("n_lines"))
+    out = cut(base.join(per, "row", "left"), "ln-rows-out")
+    for t in (where, pairs, lines, near, bad):
+        discard(t)
+    return out
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_lines, n_copies, n_near, dropped) for each row of docs: its lines, how many of them are copies of
+    earlier lines or, being no copies, near-equal to an earlier line, and their numbers.
+
+    Earlier means by (id, row, line number), nulls first; rows are in the order in which docs are read. A line
+    goes if an equal or near-equal line comes earlier anywhere in docs; empty lines stay. Lines are near-equal
+    within EDITS characters, or, from LEAST_WORDS words on, within EDITS and more words (see allowed()). Rows that share
+    an id, or have none, are rows of their own, and so are repeated rows. A null text has no line; whole
+    texts and lines of any length are compared; an empty table gives none. Other columns aren't read.
+    """
+    rows, _ = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = rows.withColumnRenamed("_row", "row")
+    out = rows.select("row", "id").join(_repeated(rows), "row", "left")
     none = F.array().cast("array<long>")
     return out.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_copies", "n_near")], F.coalesce("dropped", none).alias("dropped"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines of repeated_lines() cut out of their texts; a document left without any goes."""
-    drops = cut(repeated_lines(docs, edits, least, id_col, text_col).where("size(dropped) > 0"), "ln-drops")
-    drops = drops.select(F.col("id").alias("_id"), F.col("dropped").alias("_dropped"), (F.size("dropped") == F.col("n_lines")).alias("_all"))
-    j = docs.join(drops, F.col(id_col).eqNullSafe(F.col("_id")), "left").where("_all is null or not _all")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_dropped", i.cast("long"))), "\n")
-    return j.withColumn(text_col, F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with the lines of repeated_lines() cut out of their texts; a row left without any goes.
+    Names of other columns don't matter."""
+    rows, row = numbered(docs)
+    drops = _repeated(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))).where("dropped is not null")
+    drops = drops.select(F.col("row").alias(row), F.col("dropped").alias(f"{row}_gone"), (F.size("dropped") == F.col("n_lines")).alias(f"{row}_all"))
+    j = rows.join(drops, row, "left").where(~F.coalesce(f"{row}_all", F.lit(False)))
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(f"{row}_gone", i.cast("long"))), "\n")
+    return j.withColumn(text_col, F.when(F.col(f"{row}_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeated_lines() of all documents, by doc_id."""
     return repeated_lines(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -1,10 +1,12 @@
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from lexiloom.llm import op3_line_dedup, op4_sharding, op8_minhash
 
-from .helpers import components, crc, documents, frame, save, shingle_set
+from .helpers import components, crc, documents, frame, prose, save, shingle_set, words
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +15,7 @@ def docs(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-def _edit(a: str, b: str) -> int:
+def _edit(a, b) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -22,33 +24,71 @@ def _edit(a: str, b: str) -> int:
     return row[-1]
 
 
-def _lines_brute(rows, edits, least):
-    """By id: (copies, near, dropped), as the docstring of repeated_lines says."""
-    lines = sorted({(i, p, x.strip()) for i, t in rows if t is not None for p, x in enumerate(t.split("\n"))}, key=lambda r: (r[0], r[1]))
+def _near(x: str, y: str) -> bool:
+    p, q = words(x), words(y)
+    least = min(len(p), len(q))
+    if least >= 12:
+        edits = min(6, 2 + max(0, (least - 50) // 50))
+        return abs(len(p) - len(q)) <= edits and _edit(p, q) <= edits
+    return min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= 2 and _edit(x, y) <= 2
+
+
+def _lines_brute(rows):
+    """By row (id, text): [copies, near, dropped], as the docstring of repeated_lines says."""
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0, r))
+    lines = [(k, r, p, x.strip()) for k, r in enumerate(order) if rows[r][1] is not None for p, x in enumerate(rows[r][1].split("\n"))]
     first: dict[str, tuple] = {}
-    for i, p, x in lines:
+    for k, _, p, x in lines:
         if x:
-            first.setdefault(x, (i, p))
-    near = {x for x in first for y in first if first[y] < first[x] and min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= edits and _edit(x, y) <= edits}
-    out = defaultdict(lambda: [0, 0, []])
-    for i, p, x in lines:
-        if x and (copy := first[x] != (i, p)) | (x in near):
-            out[i][0 if copy else 1] += 1
-            out[i][2].append(p)
-    return out
+            first.setdefault(x, (k, p))
+    near = {x for x in first for y in first if first[y] < first[x] and _near(x, y)}
+    out = {r: [0, 0, []] for r in range(len(rows))}
+    for k, r, p, x in lines:
+        if x and (copy := first[x] != (k, p)) | (x in near):
+            out[r][0 if copy else 1] += 1
+            out[r][2].append(p)
+    return [out[r] for r in range(len(rows))]
+
+
+def _check_lines(spark, rows):
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _row string, row string").coalesce(1)
+    got = [[r["n_copies"], r["n_near"], list(r["dropped"])] for r in sorted(op3_line_dedup.repeated_lines(table.withColumn("id", table.row)).collect(), key=lambda r: (r["id"] is not None, r["id"] or 0))]
+    want = _lines_brute(rows)
+    key = lambda v: str(v)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    return table, want
 
 
 def test_op3_against_brute_force(spark, docs):
-    short = docs.where("length(text) < 5000 or text is null")
-    got = {r["id"]: r for r in op3_line_dedup.repeated_lines(short).collect()}
-    want = _lines_brute([(r["doc_id"], r["text"]) for r in short.collect()], op3_line_dedup.EDITS, op3_line_dedup.LEAST_CHARS)
-    assert set(got) == {r[0] for r in short.select("doc_id").collect()}
-    for i, r in got.items():
-        assert [r["n_copies"], r["n_near"], sorted(r["dropped"])] == want[i], i
-    assert got[5]["n_near"] == 1 and got[6]["n_copies"] == 1 and got[8]["n_lines"] == 0
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("length(text) < 5000 or text is null").collect()]
+    _, want = _check_lines(spark, rows)
+    by_id = {i: w for (i, _), w in zip(rows, want, strict=True)}
+    assert by_id[5][1] == 1 and by_id[6][0] == 1
     assert op3_line_dedup.repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_op3_long_lines(spark):
+    """Lines of 8 to 330 words, altered in up to four words or characters."""
+    r, rows = random.Random(4), []
+    for k in range(90):
+        base = prose(500 + k % 30, (8, 11, 12, 13, 40, 70, 99, 100, 101, 149, 150, 330)[k % 30 % 12]).split()
+        line = list(base)
+        for _ in range(r.randrange(0, 5)):
+            i = r.randrange(len(line))
+            line[i : i + 1] = r.choice(([], ["other"], [line[i], "more"], [line[i] + "x"]))
+        rows.append((k, prose(k, 3) + "\n" + " ".join(line)))
+    _, want = _check_lines(spark, rows)
+    assert sum(w[1] for w in want) > 10
+
+
+def test_op3_rows_that_share_an_id(spark):
+    rows = [(7, "L\nsecond of the first text"), (7, "top of the other text\nL"), (None, "L"), (None, "alone"), (None, None), (7, "L\nsecond of the first text"), (8, ""), (8, "a" * 150_000 + "\n" + "a" * 150_000)]
+    table, want = _check_lines(spark, rows)
+    assert want[0] == [1, 0, [0]] and want[1] == [1, 0, [1]] and want[2] == [0, 0, []] and want[7] == [1, 0, [1]]
+    kept = sorted((str(r["doc_id"]), str(r["text"])[:30]) for r in op3_line_dedup.without_repeated_lines(table).collect())
+    assert kept == sorted([("7", "second of the first text"), ("7", "top of the other text"), ("None", "L"), ("None", "alone"), ("None", "None"), ("8", ""), ("8", "a" * 30)])
+
+
 def test_op3_cuts_lines(spark, docs):
     kept = {r["doc_id"]: r["text"] for r in op3_line_dedup.without_repeated_lines(docs).collect()}
     assert 1 not in kept and 0 in kept and kept[16] == "a\nb" and kept[8] is None and kept[7] == "" and "stands in" not in kept[6]
@@ -118,4 +158,29 @@ def test_null_ids(spark, docs):
     nulls = docs.selectExpr("cast(null as long) as doc_id", "text").limit(3)
     assert op4_sharding.shard_documents(nulls).count() == 3
     assert {r["component_id"] for r in op8_minhash.near_duplicates(nulls).collect()} == {None}
-    assert op3_line_dedup.repeated_lines(nulls).count() == 1 and crc("x") > 0
+    assert op3_line_dedup.repeated_lines(nulls).count() == 3 and crc("x") > 0
+
+
+def test_op8_group_of_near_copies(spark):
+    """2,000 copies of a text with 0 to 24 of 150 words changed: most pairs are somewhat above or below the threshold."""
+    r, base, rows = random.Random(9), prose(77, 150).split(), []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(r.choice((2, 5, 9, 12, 16, 24))):
+            w[r.randrange(150)] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = op8_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    names: dict = {}
+    sets = [np.array(sorted(names.setdefault(x, len(names)) for x in shingle_set(t, 2))) for _, t in rows]
+    shared = np.zeros((2000, 2000), np.int32)
+    holders = defaultdict(list)
+    for i, x in enumerate(sets):
+        for v in x.tolist():
+            holders[v].append(i)
+    for h in holders.values():
+        if len(h) > 1:
+            shared[np.ix_(h, h)] += 1
+    size = np.array([len(x) for x in sets])
+    a, b = np.nonzero(np.triu(100 * shared >= 80 * (size[:, None] + size[None] - shared), 1))
+    comp = components(range(2000), zip(a.tolist(), b.tolist(), strict=True))
+    assert {x["doc_id"]: x["component_id"] for x in got} == comp and len(set(comp.values())) > 100
