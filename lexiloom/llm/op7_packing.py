@@ -7,6 +7,7 @@ import json
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,34 +15,33 @@ import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import arrow_map, cut, discard, table, width
+from .common import arrow_map, cut, runs, table
 from .words import pieces
 
 WINDOW = 4096
 END = 2
-#: Documents of one shard of the index, and postings of it (a longer document is a shard alone).
-SHARD_DOCS, SHARD_POSTINGS = 4096, 4_000_000
-#: Lanes that are filled at the same time, at most, and windows of a lane that are aimed at below that.
-MOST_LANES, ROUNDS = 1024, 8
-#: Seeds scored at a time, the most frequent terms, which are scored by a matrix product, and pieces that the
-#: driver keeps before they are written.
-SEED_BLOCK, HOT_TERMS, PLAN_ROWS = 128, 1024, 300_000
+#: Documents of a shard of the index, and tokens that count as one document; a longer text counts as several.
+SHARD, DOC_TOKENS = 8192, 2048
+#: Lanes of a shard that are filled at the same time, at most, and windows of a lane that are aimed at below that.
+MOST_LANES, ROUNDS = 64, 8
+#: The most frequent terms, which are scored by a matrix product.
+HOT_TERMS = 512
 #: BM25 weights are multiples of 1 / SCALE.
 SCALE = 1 << 20
-_FOUND = np.dtype([("seed", "<i4"), ("n", "<i4"), ("rank", "<i8"), ("score", "<f8")])
 K1, B = 1.2, 0.75
 ROUTE_BITS = 16
 #: Words whose ids a worker remembers, at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: White space that Python splits at and the tokenizer doesn't, its special tokens, and whatever is beyond
 #: Latin letters: such texts go through the tokenizers library as they are.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0İ]|[^\x00-ɏ]|<\\|")
 _PAT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: One sign between a letter and white space is a piece of its own.
+_SIGN = re.compile(r"[.,;:!?](?<=[^\W\d_].)(?=\s|\Z)")
 _MARK = b"\xff"  # no byte of UTF-8; stands for the end of a word
 
 
@@ -53,7 +53,7 @@ class WordTokenizer(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.full = Tokenizer.from_file(path)
+        self.path, self.full = path, None
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         assert len(vocab) <= 65536
@@ -69,24 +69,20 @@ class WordTokenizer(dict):
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
-        s = word.lower()
-        if s != word and s in self:
-            out = self[s]
-        elif s.isalpha():
-            out = np.array(self.merge(s.encode() + _MARK), np.uint16).tobytes()
-        elif s[:-1].isalpha() and s[-1] in ".,;:!?":
-            out = self[s[:-1]] + np.array(self.merge(s[-1].encode() + _MARK), np.uint16).tobytes()
+        if word.isalpha():
+            out = array("H", self.merge(word.encode() + _MARK)).tobytes()
         else:
-            ids = [i for p in _PAT.findall(s) for i in self.merge(p.encode() + _MARK)]
-            out = np.array(ids, np.uint16).tobytes()
+            out = array("H", [i for p in _PAT.findall(word) for i in self.merge(p.encode() + _MARK)]).tobytes()
         if len(self) < CACHE_WORDS:
             self[word] = out
         return out
 
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
+            if self.full is None:
+                self.full = Tokenizer.from_file(self.path)
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, _SIGN.sub(r" \g<0>", text.lower()).split()))
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -96,44 +92,50 @@ def tokenizer(path: str) -> WordTokenizer:
     return kept[path]
 
 
-def _route(ids: np.ndarray, planes: np.ndarray) -> int:
-    """The rank, in Gray-code order, of the signs of a document's projections on random planes: documents
-    with like terms are near each other in it. Rare (late) ids weigh more."""
-    u = np.unique(ids)
-    signs = (planes[u] * np.log1p(u)[:, None]).sum(axis=0) > 0
-    return int((np.bitwise_xor.accumulate(signs).astype(np.int64) << np.arange(ROUTE_BITS - 1, -1, -1)).sum())
+def _planes() -> np.ndarray:
+    """Random planes for the 65536 ids; rare (late) ids weigh more."""
+    return np.random.default_rng(3).standard_normal((65536, ROUTE_BITS)).astype(np.float32) * np.log1p(np.arange(65536, dtype=np.float32))[:, None]
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tok, zip_ = tokenizer(path), zstandard.ZstdCompressor(level=1)
-    planes = np.random.default_rng(3).standard_normal((65536, ROUTE_BITS)).astype(np.float32)
-    end = np.uint16(END).tobytes()
+    """Rows with their number of ids, route and ids; at the end one row with the task's document frequencies.
+
+    The route is the rank, in Gray-code order, of the signs of a document's projections on random planes:
+    documents with like terms are near each other in it."""
+    tok, zip_, planes = tokenizer(path), zstandard.ZstdCompressor(level=1), _planes()
+    end, place, df = np.uint16(END).tobytes(), np.arange(ROUTE_BITS - 1, -1, -1), np.zeros(65536, np.int64)
+    names, kind = ["id", "n", "route", "ids", "df"], None
     for rows, _, _ in pieces(batches):
-        n, ids, route = [], [], []
+        n, ids, signs, kind = [], [], [], rows.column(0).type
         for text in rows.column(1).to_pylist():
             b = (tok.ids(text) if text else b"") + end
             n.append(len(b) // 2)
             ids.append(zip_.compress(b))
-            route.append(_route(np.frombuffer(b, np.uint16), planes))
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(route, pa.int64()), pa.array(ids, pa.binary())], names=["id", "n", "route", "ids"])
+            u = np.unique(np.frombuffer(b, np.uint16))
+            df[u] += 1
+            signs.append(planes[u].sum(axis=0) > 0)
+        route = (np.bitwise_xor.accumulate(np.array(signs), axis=1).astype(np.int64) << place).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(route), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zip_.compress(df.tobytes())], pa.binary())], names=names)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, unzip = np.zeros(65536, np.int64), zstandard.ZstdDecompressor()
     for rb in batches:
         for v in rb.column(0):
-            df[np.unique(np.frombuffer(unzip.decompress(v.as_py()), np.uint16))] += 1
+            df += np.frombuffer(unzip.decompress(v.as_py()), np.int64)
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "df"])
 
 
-class Shard:
-    """A BM25 inverted index over some documents (terms, their counts, lengths), with idf and mean length of the
-    whole corpus. Weights are multiples of 1 / SCALE, so sums are exact and don't depend on how documents are
-    dealt into shards. The terms of `hot` are kept as a dense matrix, all others as postings."""
+class Index:
+    """A BM25 inverted index over a shard's documents (terms, their counts, lengths), with idf and mean length of
+    the whole corpus. Weights are multiples of 1 / SCALE, so sums are exact in any order. The terms of `hot` are
+    kept as a dense matrix, all others as postings."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], size: np.ndarray, idf: np.ndarray, mean: float, hot: np.ndarray):
-        doc, term, tf = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64), np.concatenate(counts)
+        doc, term, tf = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms), np.concatenate(counts)
         w = np.rint(SCALE * idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean)))
         self.n, self.hot, at = len(terms), hot, hot[term]
         self.dense = np.zeros((self.n, int(hot.max()) + 1))
@@ -157,76 +159,6 @@ class Shard:
         return q @ self.dense.T + rest.reshape(len(seeds), self.n)
 
 
-def _first(row: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k entries of each row that are first by falling score, then rank; in that order."""
-    order = np.lexsort((rank, -score, row))
-    r = row[order]
-    return order[np.arange(len(r)) - np.searchsorted(r, r) < k]
-
-
-def _probed(batches: Iterator[pa.RecordBatch], bases: dict, used: bytes, seeds: list[np.ndarray], k: int, idf: np.ndarray, mean: float, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each seed the task's k first unused documents, by shards of the index: (seed, found)."""
-    free = np.unpackbits(np.frombuffer(used, np.uint8)) == 0
-    best = np.zeros(0, _FOUND)
-    terms, counts, ranks, size = [], [], [], []
-
-    def probe() -> None:
-        nonlocal best
-        index, rank, n = Shard(terms, counts, np.array(size), idf, mean, hot), np.array(ranks), np.array(size)
-        bar = np.full(len(seeds), -1.0)  # the k-th score so far, if there are k
-        if len(best):
-            full = np.flatnonzero(np.bincount(best["seed"], minlength=len(seeds)) == k)
-            bar[full] = best["score"][np.searchsorted(best["seed"], full, "right") - 1]
-        got = [best]
-        for a in range(0, len(seeds), SEED_BLOCK):
-            score = index.scores(seeds[a : a + SEED_BLOCK])
-            least = bar[a : a + SEED_BLOCK].copy()
-            new = np.flatnonzero(least < 0)
-            if len(new) and index.n > k:
-                least[new] = np.partition(score[new], index.n - k, axis=1)[:, index.n - k]
-            row, col = np.nonzero(score >= least[:, None])
-            some = np.zeros(len(row), _FOUND)
-            some["seed"], some["score"], some["rank"], some["n"] = row + a, score[row, col], rank[col], n[col]
-            got.append(some)
-        every = np.concatenate(got)
-        best = every[_first(every["seed"], every["score"], every["rank"], k)]
-        for x in (terms, counts, ranks, size):
-            x.clear()
-
-    postings = 0
-    for rb in batches:
-        for part, local, n, t, c in zip(*(rb.column(i).to_pylist() for i in range(5)), strict=True):
-            rank = bases[part] + local
-            if free[rank]:
-                if terms and (len(terms) >= SHARD_DOCS or postings + len(t) // 2 > SHARD_POSTINGS):
-                    probe()
-                    postings = 0
-                terms.append(np.frombuffer(t, np.uint16))
-                counts.append(np.frombuffer(c, np.uint32))
-                ranks.append(rank)
-                size.append(n)
-                postings += len(t) // 2
-    if terms:
-        probe()
-    cut_ = np.searchsorted(best["seed"], np.arange(len(seeds) + 1))
-    own = np.flatnonzero(np.diff(cut_))
-    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([best[cut_[i] : cut_[i + 1]].tobytes() for i in own], pa.binary())], names=["seed", "found"])
-
-
-def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    blobs = [b for rb in batches for b in rb.column(1).to_pylist()]
-    every = np.frombuffer(b"".join(blobs), _FOUND)
-    best = every[_first(every["seed"], every["score"], every["rank"], k)]
-    yield pa.RecordBatch.from_arrays([pa.array([best.tobytes()], pa.binary())], names=["found"])
-
-
-def _terms_of(batches: Iterator[pa.RecordBatch], bases: dict, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for rb in batches:
-        rank = np.array([bases[p] for p in rb.column(0).to_pylist()], np.int64) + rb.column(1).to_numpy()
-        at = pa.array(np.flatnonzero(np.isin(rank, wanted)), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(rank).take(at), rb.column(2).take(at), rb.column(3).take(at)], names=["rank", "n", "terms"])
-
-
 class Packer:
     """Lanes that fill windows one after another; what a document has beyond a window's end begins its lane's
     next one. Only ranks and lengths are known here. out: (rank, start, length, sequence, offset)."""
@@ -277,133 +209,106 @@ class Packer:
                 self._close(own)
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one sorted partition with their place in it, distinct terms and counts of these."""
-    unzip, part, local = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0
-    for rb in batches:
-        terms, counts = [], []
-        for v in rb.column(2):
-            t, c = np.unique(np.frombuffer(unzip.decompress(v.as_py()), np.uint16), return_counts=True)
-            terms.append(t.tobytes())
-            counts.append(c.astype(np.uint32).tobytes())
-        n = rb.num_rows
-        yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([part] * n, pa.int32()), pa.array(range(local, local + n), pa.int64()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
-            names=["id", "n", "ids", "part", "local", "terms", "counts"])
-        local += n
-
-
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, ids, pieces) to one row for each piece, with the checksum of its ids."""
-    unzip = zstandard.ZstdDecompressor()
-    for rb in batches:
-        which, rows = [], []
-        for i, (n, v, own) in enumerate(zip(rb.column(1).to_pylist(), rb.column(2), rb.column(3).to_pylist(), strict=True)):
-            ids = np.frombuffer(unzip.decompress(v.as_py()), np.uint16).astype("<u4")
-            for p in own:
-                which.append(i)
-                rows.append((p["start"], p["length"], zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()), n, p["sequence_id"], p["offset"]))
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(which, pa.int64())), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-
-def _plan(index: DataFrame, bases: dict, count: int, total: int, idf: np.ndarray, df: np.ndarray, window: int) -> list[DataFrame]:
-    """Tables (rank, start, length, sequence_id, offset) of all pieces, made in rounds: every shard of the index
-    is probed for the seeds of all lanes, and lanes take what is still unused in turn."""
-    spark, mean = index.sparkSession, total / count
-    hot = np.full(65536, -1)
-    hot[np.argsort(-df, kind="stable")[:HOT_TERMS]] = np.arange(HOT_TERMS)
+def _best(score: np.ndarray, free: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of score the places of its k largest among free, by falling score, then place."""
+    at = np.flatnonzero(free)
+    out = []
+    for row in score[:, at]:
+        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+        top = np.flatnonzero(row >= least)
+        out.append(at[top[np.argsort(-row[top], kind="stable")[:k]]])
+    return out
+
+
+def plan(terms: list[np.ndarray], counts: list[np.ndarray], size: np.ndarray, idf: np.ndarray, mean: float, hot: np.ndarray, window: int) -> list[tuple]:
+    """(document, start, length, sequence, offset) of the pieces of a shard's documents, made in rounds: the index is
+    probed for the seeds of all lanes, and lanes take what is still unused in turn."""
+    index, count, total = Index(terms, counts, size, idf, mean, hot), len(terms), int(size.sum())
     lanes = int(min(MOST_LANES, max(1, total // window // ROUNDS), count))
     k = int(min(256, max(16, 2 * window / mean)))
-    packer, used, tables = Packer(lanes, window), np.zeros(count, bool), []
-    seed, terms, next_ = [i * count // lanes for i in range(lanes)], [None] * lanes, 0
-    used[seed] = True
-    fresh = set(range(lanes))  # lanes whose seed isn't in a window yet
-
-    def flush() -> None:
-        cols = list(zip(*packer.out, strict=True))
-        packer.out = []
-        rows = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rank", "start", "length", "sequence_id", "offset"])
-        tables.append(cut(spark.createDataFrame(rows), "pack-plan"))
-
-    while fresh or not used.all():
+    packer, free, n = Packer(lanes, window), np.ones(count, bool), size.tolist()
+    seed, next_ = [None] * lanes, 0
+    while True:
         for i in range(lanes):
-            if seed[i] is None:
-                next_ += int(np.argmin(used[next_:])) if next_ < count else 0
-                if next_ < count and not used[next_]:
-                    seed[i], terms[i], used[next_] = next_, None, True
-                    fresh.add(i)
-        ask = {seed[i]: i for i in range(lanes) if seed[i] is not None and terms[i] is None}
-        if ask:
-            wanted = np.array(sorted(ask))
-            for r in arrow_map(index.select("part", "local", "n", "terms"), lambda it: _terms_of(it, bases, wanted), "rank long, n long, terms binary").collect():
-                i = ask[r[0]]
-                terms[i] = np.frombuffer(r[2], np.uint16)
-                if i in fresh:
-                    packer.add(i, r[0], r[1])
-                    fresh.discard(i)
-                    if packer.used[i] == 0:
-                        seed[i] = None
+            while seed[i] is None and next_ < count:  # the first unused document begins a window
+                if free[next_]:
+                    free[next_] = False
+                    packer.add(i, next_, n[next_])
+                    seed[i] = next_ if packer.used[i] else None
+                next_ += 1
         live = [i for i in range(lanes) if seed[i] is not None]
-        if live and not used.all():
-            bits, q = np.packbits(used).tobytes(), [terms[i] for i in live]
-            found = arrow_map(index.select("part", "local", "n", "terms", "counts"), lambda it: _probed(it, bases, bits, q, k, idf, mean, hot), "seed long, found binary")
-            found = arrow_map(found.repartition("seed"), lambda it: _merged(it, k), "found binary").collect()
-            found = np.concatenate([np.frombuffer(r[0], _FOUND) for r in found])
-            found = found[_first(found["seed"], found["score"], found["rank"], k)]
-            at = np.searchsorted(found["seed"], np.arange(len(live) + 1))
-            for j, i in enumerate(live):
-                for rank, n in found[["rank", "n"]][at[j] : at[j + 1]].tolist():
-                    if not used[rank]:
-                        used[rank] = True
-                        if packer.add(i, rank, n):
-                            seed[i], terms[i] = (rank, None) if packer.used[i] else (None, None)
-                            break
-        if len(packer.out) > PLAN_ROWS:
-            flush()
+        if not live or not free.any():
+            break
+        for i, near in zip(live, _best(index.scores([terms[seed[i]] for i in live]), free, k), strict=True):
+            for d in near.tolist():
+                if free[d]:
+                    free[d] = False
+                    if packer.add(i, d, n[d]):
+                        seed[i] = d if packer.used[i] else None
+                        break
     packer.finish()
-    if packer.out:
-        flush()
-    return tables
+    return packer.out
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, hot: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+    """Shards, whose rows follow one another, to one row for each piece, with the checksum of its ids."""
+    unzip = zstandard.ZstdDecompressor()
+    for rows in runs(batches, "shard"):
+        rows = rows.combine_chunks()
+        ids = [np.frombuffer(unzip.decompress(v.as_buffer()), np.uint16) for v in rows.column("ids")]
+        terms, counts = zip(*(np.unique(x, return_counts=True) for x in ids), strict=True)
+        size = np.array([len(x) for x in ids])
+        out = plan(list(terms), list(counts), size, idf, mean, hot, window)
+        doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*out, strict=True))
+        crc = [zlib.crc32(ids[d][a : a + n].astype("<u4").tobytes()) for d, a, n, _, _ in out]
+        base = rows.column("shard")[0].as_py() << 24  # more sequences than a shard can have
+        cols = [pa.array(x, pa.int64()) for x in (start, length, crc, size[doc], sequence + base, offset)]
+        yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(pa.array(doc)), *cols], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+def shards(tok: DataFrame, most: int) -> DataFrame:
+    """(route, first, parts): runs of routes of about `most` documents each are a shard; a route that has
+    more alone is dealt into several. At most 2**ROUTE_BITS rows reach the driver."""
+    rows, out, shard, load = tok.groupBy("route").agg(F.sum("weight").alias("w")).collect(), [], 0, 0
+    for r in sorted(rows, key=lambda r: r["route"]):
+        parts = -(-r["w"] // most)
+        if load and (parts > 1 or load + r["w"] > most):
+            shard, load = shard + 1, 0
+        out.append((r["route"], shard, parts))
+        shard, load = (shard + parts, 0) if parts > 1 else (shard, load + r["w"])
+    return tok.sparkSession.createDataFrame(out, "route long, first long, parts long")
+
+
+def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """One row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Every row of docs is tokenized whole (no special tokens; a null text is empty) and closed with id END.
-    Documents are ranked by a route and by id. In each of a number of lanes a seed's window is filled with its
-    nearest unused documents by BM25 of the whole corpus, ties by rank; the document cut at the window's end is
-    the lane's next seed, or the first unused one if none was cut. Lanes take in turn, and the result doesn't
-    depend on partitions or shards. There is no padding: full windows, and at the end sequences of powers of two.
-    Null ids are packed too; repeated rows are packed each; an empty table gives no piece. The work grows with
-    the number of windows times that of documents. The driver holds one bit for each document, one number for
-    each id of the vocabulary, and the seeds of one round with their neighbours.
+    Every row of docs is tokenized whole (no special tokens; a null text is empty) and closed with id END. The
+    index is dealt into shards of about `shard` documents with like terms (by route), in which documents are
+    ordered by route, id, length and ids. In each of a shard's lanes a seed's window is filled with its nearest unused
+    documents of the shard, by BM25 with statistics of the whole corpus, ties in order; the document cut at the
+    window's end is the lane's next seed, or the first unused one if none was cut. Lanes take in turn, and the
+    result depends neither on partitions nor on the order of rows. Up to `shard` documents retrieval is over the whole table; beyond,
+    neighbours in other shards aren't found (README has measured recall), so that work is in proportion to the
+    input. There is no padding: full windows, and at a shard's end sequences of powers of two. sequence_id has gaps.
+    Null ids are packed too; repeated rows are packed each; an empty table gives no piece; other columns aren't read.
+    The driver holds one number for each id of the vocabulary and each route.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    spark = docs.sparkSession
-    tok = cut(arrow_map(src, lambda it: _tokenized(it, path), f"id {kind}, n long, route long, ids binary"), "pack-tokens")
+    both = cut(arrow_map(src, lambda it: _tokenized(it, path), f"id {kind}, n long, route long, ids binary, df binary"), "pack-tokens")
+    tok = both.where("n is not null").withColumn("weight", (F.lit(1) + F.floor(F.col("n") / DOC_TOKENS)).cast("long")).drop("df")
     count, total = tok.agg(F.count(F.lit(1)), F.sum("n")).first()
     df = np.zeros(65536)
-    for t, n in arrow_map(tok.select("ids"), _frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
+    for t, n in arrow_map(both.select("df").where("df is not null"), _frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
         df[t] = n
     idf = np.log1p((count - df + 0.5) / (df + 0.5))
-    order = ["route", "id", "n", "ids"]
-    ranked = tok.repartitionByRange(width(spark), *order[:3]).sortWithinPartitions(*order).select("id", "n", "ids")
-    index = cut(arrow_map(ranked, _indexed, f"id {kind}, n long, ids binary, part int, local long, terms binary, counts binary"), "pack-index")
-    discard(tok)
-    bases, at = {}, 0
-    for part, n in sorted((r[0], r[1]) for r in index.groupBy("part").count().collect()):
-        bases[part] = at
-        at += n
-    tables = _plan(index, bases, count, total, idf, df, window) if count else []
-    none = spark.createDataFrame([], "rank long, start long, length long, sequence_id long, offset long")
-    plan = tables[0] if tables else none
-    for t in tables[1:]:
-        plan = plan.unionByName(t)
-    plan = plan.groupBy("rank").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    base = spark.createDataFrame(sorted(bases.items()), "part int, base long")
-    rows = index.join(F.broadcast(base), "part").select("id", "n", "ids", (F.col("base") + F.col("local")).alias("rank"))
-    out = arrow_map(rows.join(plan, "rank").select("id", "n", "ids", "pieces"), _cut_out, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    hot = np.full(65536, -1)
+    hot[np.argsort(-df, kind="stable")[:HOT_TERMS]] = np.arange(HOT_TERMS)
+    part = F.pmod(F.xxhash64("id", "ids"), F.col("parts"))
+    dealt = tok.join(F.broadcast(shards(tok, shard)), "route").select("id", "n", "ids", "route", (F.col("first") + part).alias("shard"))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "route", "id", "n", "ids").select("shard", "id", "ids")
+    mean = total / count if count else 1.0
+    out = arrow_map(dealt, lambda it: _packed(it, idf, mean, hot, window), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -414,4 +319,5 @@ def default_path() -> str:
 
 
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents with the 49k word tokenizer."""
     return pack(table(spark, sf_dir, "documents"), default_path())
