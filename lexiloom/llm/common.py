@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -23,12 +26,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """df.mapInArrow, after this package has once been sent to the executors of df's session."""
     sc = df.sparkSession.sparkContext
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
     if getattr(sc, "_lexiloom_sent", None) is None:
         here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         at = os.path.realpath(tempfile.mkdtemp(prefix="lexiloom-code-"))
         sc.addPyFile(shutil.make_archive(f"{at}/lexiloom_code", "zip", os.path.dirname(here), os.path.basename(here)))
         sc._lexiloom_sent = True
-    return df.mapInArrow(fn, schema)
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Gives freed memory back to the system: workers live on after a task, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc's only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -4,7 +4,6 @@ neighbours, which greedily fill its window of tokens."""
 from __future__ import annotations
 
 import json
-import re
 import sys
 import zlib
 from array import array
@@ -20,29 +19,27 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import arrow_map, cut, runs, table
-from .words import pieces
+from .words import SPACES, pieces, spans
 
 WINDOW = 4096
 END = 2
 #: Documents of a shard of the index, and tokens that count as one document; a longer text counts as several.
-SHARD, DOC_TOKENS = 8192, 2048
+SHARD, DOC_TOKENS = 4096, 2048
 #: Lanes of a shard that are filled at the same time, at most, and windows of a lane that are aimed at below that.
 MOST_LANES, ROUNDS = 64, 8
 #: The most frequent terms, which are scored by a matrix product.
-HOT_TERMS = 512
-#: BM25 weights are multiples of 1 / SCALE.
-SCALE = 1 << 20
+HOT_TERMS = 1024
+#: BM25 weights are multiples of 1 / SCALE; single precision, in which candidates are found, is off by less than MARGIN.
+SCALE, MARGIN = 1 << 20, 0.1 * (1 << 20)
 K1, B = 1.2, 0.75
 ROUTE_BITS = 16
 #: Words whose ids a worker remembers, at most.
-CACHE_WORDS = 150_000
-#: White space that Python splits at and the tokenizer doesn't, its special tokens, and whatever is beyond
-#: Latin letters: such texts go through the tokenizers library as they are.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0İ]|[^\x00-ɏ]|<\\|")
+CACHE_WORDS = 300_000
 _PAT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: One sign between a letter and white space is a piece of its own.
-_SIGN = re.compile(r"[.,;:!?](?<=[^\W\d_].)(?=\s|\Z)")
 _MARK = b"\xff"  # no byte of UTF-8; stands for the end of a word
+_BYTES = np.arange(256)
+_CLASS = ((_BYTES >= 0x1C) & (_BYTES <= 0x1F)) | (_BYTES >= 0xC9) | np.isin(_BYTES, [0xC2, 0xC4, ord("<")])
+_SIGN, _LETTER = np.isin(_BYTES, list(b".,;:!?")), np.isin(_BYTES | 32, range(97, 123)) & (_BYTES < 128)
 
 
 class WordTokenizer(dict):
@@ -77,12 +74,46 @@ class WordTokenizer(dict):
             self[word] = out
         return out
 
-    def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
-            if self.full is None:
-                self.full = Tokenizer.from_file(self.path)
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-        return b"".join(map(self.__getitem__, _SIGN.sub(r" \g<0>", text.lower()).split()))
+    def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each text of a run, given as UTF-8 bytes and bounds, and the texts left out, for whole()."""
+        odd = _odd(data, off)
+        if odd.any():
+            data = data.copy()
+            for d in np.flatnonzero(odd):
+                data[off[d] : off[d + 1]] = 32
+        at = np.sort(np.concatenate([_signs(data), off[1:-1]]))  # a space before each, so that it is a word of its own
+        off, data = off + np.searchsorted(at, off), np.insert(data, at, np.uint8(32))
+        first = spans(data, off, SPACES)[2].tolist()
+        words = list(map(self.__getitem__, data.tobytes().decode().lower().split()))
+        return [b"".join(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], np.flatnonzero(odd)
+
+    def whole(self, text: str) -> bytes:
+        """The ids of one text by the tokenizers library itself."""
+        if self.full is None:
+            self.full = Tokenizer.from_file(self.path)
+        return array("H", self.full.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def _odd(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Texts with white space that Python splits at and the tokenizer doesn't, special tokens, or characters
+    beyond Latin letters: these go through the tokenizers library as they are."""
+    at = np.flatnonzero(_CLASS[data])
+    at = at[at + 1 < len(data)] if len(at) else at
+    b, after = data[at], data[at + 1] if len(at) else data[at]
+    bad = ((b >= 0x1C) & (b <= 0x1F)) | (b >= 0xCA) | ((b == 0xC9) & (after >= 0x90)) | ((b == 0xC2) & ((after == 0x85) | (after == 0xA0)))
+    bad |= ((b == 0xC4) & (after == 0xB0)) | ((b == ord("<")) & (after == ord("|")))
+    out = np.zeros(len(off) - 1, bool)
+    out[np.searchsorted(off, at[bad], "right") - 1] = True
+    if len(data) and (0x1C <= data[-1] <= 0x1F):
+        out[np.searchsorted(off, len(data) - 1, "right") - 1] = True
+    return out
+
+
+def _signs(data: np.ndarray) -> np.ndarray:
+    """Places of single signs between an ASCII letter and white space: pieces of their own."""
+    at = np.flatnonzero(_SIGN[data])
+    at = at[(at > 0) & (at + 1 < len(data))]
+    return at[_LETTER[data[at - 1]] & SPACES[data[at + 1]]]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -105,10 +136,13 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
     tok, zip_, planes = tokenizer(path), zstandard.ZstdCompressor(level=1), _planes()
     end, place, df = np.uint16(END).tobytes(), np.arange(ROUTE_BITS - 1, -1, -1), np.zeros(65536, np.int64)
     names, kind = ["id", "n", "route", "ids", "df"], None
-    for rows, _, _ in pieces(batches):
+    for rows, data, off in pieces(batches):
         n, ids, signs, kind = [], [], [], rows.column(0).type
-        for text in rows.column(1).to_pylist():
-            b = (tok.ids(text) if text else b"") + end
+        plain, odd = tok.ids(data, off)
+        for i in odd.tolist():
+            plain[i] = tok.whole(rows.column(1)[i].as_py())
+        for b in plain:
+            b += end
             n.append(len(b) // 2)
             ids.append(zip_.compress(b))
             u = np.unique(np.frombuffer(b, np.uint16))
@@ -132,7 +166,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Index:
     """A BM25 inverted index over a shard's documents (terms, their counts, lengths), with idf and mean length of
     the whole corpus. Weights are multiples of 1 / SCALE, so sums are exact in any order. The terms of `hot` are
-    kept as a dense matrix, all others as postings."""
+    kept as a dense matrix, also in single precision, all others as postings."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], size: np.ndarray, idf: np.ndarray, mean: float, hot: np.ndarray):
         doc, term, tf = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms), np.concatenate(counts)
@@ -140,23 +174,31 @@ class Index:
         self.n, self.hot, at = len(terms), hot, hot[term]
         self.dense = np.zeros((self.n, int(hot.max()) + 1))
         self.dense[doc[at >= 0], at[at >= 0]] = w[at >= 0]
+        self.single = self.dense.astype(np.float32).T.copy()
         doc, term, w = doc[at < 0], term[at < 0], w[at < 0]
         order = np.argsort(term, kind="stable")
         self.posting_doc, self.posting_weight = doc[order], w[order]
         self.begin = np.searchsorted(term[order], np.arange(65537))
 
-    def scores(self, seeds: list[np.ndarray]) -> np.ndarray:
-        """BM25 of every document of the shard for all terms of each seed: one row for each seed."""
-        which, t = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds]), np.concatenate(seeds).astype(np.int64)
+    def nearest(self, seeds: list[np.ndarray], free: np.ndarray, k: int) -> list[np.ndarray]:
+        """For the terms of each seed the k free documents with the largest BM25, ties by place."""
+        which, t = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds]), np.concatenate(seeds)
         at = self.hot[t]
-        q = np.zeros((len(seeds), self.dense.shape[1]))
+        q = np.zeros((len(seeds), len(self.single)), np.float32)
         q[which[at >= 0], at[at >= 0]] = 1
-        which, t = which[at < 0], t[at < 0]
+        which, t = which[at < 0], t[at < 0].astype(np.int64)
         lo, size = self.begin[t], self.begin[t + 1] - self.begin[t]
         place = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
         cell = np.repeat(which * self.n, size) + self.posting_doc[place]
-        rest = np.bincount(cell, weights=self.posting_weight[place], minlength=len(seeds) * self.n)
-        return q @ self.dense.T + rest.reshape(len(seeds), self.n)
+        rest = np.bincount(cell, weights=self.posting_weight[place], minlength=len(seeds) * self.n).reshape(len(seeds), self.n)
+        about, some, out = q @ self.single, np.flatnonzero(free), []
+        about += rest
+        for i, row in enumerate(about[:, some]):
+            least = np.partition(row, len(row) - k)[len(row) - k] - MARGIN if len(row) > k else -np.inf
+            top = some[row >= least]
+            exact = self.dense[top[:, None], np.flatnonzero(q[i])[None]].sum(axis=1) + rest[i, top]
+            out.append(top[np.argsort(-exact, kind="stable")[:k]])
+        return out
 
 
 class Packer:
@@ -209,17 +251,6 @@ class Packer:
                 self._close(own)
 
 
-def _best(score: np.ndarray, free: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row of score the places of its k largest among free, by falling score, then place."""
-    at = np.flatnonzero(free)
-    out = []
-    for row in score[:, at]:
-        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-        top = np.flatnonzero(row >= least)
-        out.append(at[top[np.argsort(-row[top], kind="stable")[:k]]])
-    return out
-
-
 def plan(terms: list[np.ndarray], counts: list[np.ndarray], size: np.ndarray, idf: np.ndarray, mean: float, hot: np.ndarray, window: int) -> list[tuple]:
     """(document, start, length, sequence, offset) of the pieces of a shard's documents, made in rounds: the index is
     probed for the seeds of all lanes, and lanes take what is still unused in turn."""
@@ -239,7 +270,7 @@ def plan(terms: list[np.ndarray], counts: list[np.ndarray], size: np.ndarray, id
         live = [i for i in range(lanes) if seed[i] is not None]
         if not live or not free.any():
             break
-        for i, near in zip(live, _best(index.scores([terms[seed[i]] for i in live]), free, k), strict=True):
+        for i, near in zip(live, index.nearest([terms[seed[i]] for i in live], free, k), strict=True):
             for d in near.tolist():
                 if free[d]:
                     free[d] = False

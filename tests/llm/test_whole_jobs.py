@@ -27,7 +27,7 @@ def test_op7_neighbours_come_from_all_documents(spark):
     got = _packed_in_order(spark, rows, window)
     assert sorted(got) == list(range(600))
     tok = op7_packing.WordTokenizer(op7_packing.default_path())
-    ids = [np.append(np.frombuffer(tok.ids(t), np.uint16), op7_packing.END) for _, t in rows]
+    ids = [np.append(np.frombuffer(tok.whole(t), np.uint16), op7_packing.END) for _, t in rows]
     tf = np.zeros((600, 65536))
     for i, x in enumerate(ids):
         np.add.at(tf[i], x, 1)
