@@ -137,7 +137,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
     end, place, df = np.uint16(END).tobytes(), np.arange(ROUTE_BITS - 1, -1, -1), np.zeros(65536, np.int64)
     names, kind = ["id", "n", "route", "ids", "df"], None
     for rows, data, off in pieces(batches):
-        n, ids, signs, kind = [], [], [], rows.column(0).type
+        n, ids, terms, kind = [], [], [], rows.column(0).type
         plain, odd = tok.ids(data, off)
         for i in odd.tolist():
             plain[i] = tok.whole(rows.column(1)[i].as_py())
@@ -145,10 +145,11 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
             b += end
             n.append(len(b) // 2)
             ids.append(zip_.compress(b))
-            u = np.unique(np.frombuffer(b, np.uint16))
-            df[u] += 1
-            signs.append(planes[u].sum(axis=0) > 0)
-        route = (np.bitwise_xor.accumulate(np.array(signs), axis=1).astype(np.int64) << place).sum(axis=1)
+            terms.append(np.unique(np.frombuffer(b, np.uint16)))
+        every = np.concatenate(terms)
+        df += np.bincount(every, minlength=65536)
+        signs = np.add.reduceat(planes[every], np.cumsum([0, *map(len, terms[:-1])])) > 0
+        route = (np.bitwise_xor.accumulate(signs, axis=1).astype(np.int64) << place).sum(axis=1)
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(route), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
     if kind is not None:
         yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zip_.compress(df.tobytes())], pa.binary())], names=names)
@@ -196,7 +197,9 @@ class Index:
         for i, row in enumerate(about[:, some]):
             least = np.partition(row, len(row) - k)[len(row) - k] - MARGIN if len(row) > k else -np.inf
             top = some[row >= least]
-            exact = self.dense[top[:, None], np.flatnonzero(q[i])[None]].sum(axis=1) + rest[i, top]
+            few = len(top) < 8 * k  # copies have equal values, so there may be many
+            hot = self.dense[top[:, None], np.flatnonzero(q[i])[None]].sum(axis=1) if few else (self.dense @ q[i].astype(np.float64))[top]
+            exact = hot + rest[i, top]
             out.append(top[np.argsort(-exact, kind="stable")[:k]])
         return out
 
