@@ -97,6 +97,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def few_of_each(rows: DataFrame, by: str, key: str, per: int) -> DataFrame:
+    """Of the rows of each value of `by` the `per` whose hashed `key` is smallest. A hash far above those is left out
+    before values are ranked, by counts of the values (there should be few), so that no task gets all rows of a value."""
+    spark, low = rows.sparkSession, -(1 << 63)
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()
+    bound = [(r[by], min((1 << 63) - 1, low + (1 << 64) * 4 * per // r["n"])) for r in counts if r[by] is not None]
+    bounds = spark.createDataFrame(bound, f"{by} {rows.schema[by].dataType.simpleString()}, _bound long")
+    some = rows.withColumn("_h", F.xxhash64(key)).join(F.broadcast(bounds), by).where(F.col("_h") <= F.col("_bound"))
+    w = Window.partitionBy(by).orderBy("_h", key)
+    return some.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= per).select(*rows.columns)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,7 +4,7 @@ then longest common subsequences and an answer check, so that paraphrases are fo
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,8 @@ COSINE = 0.45
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Items compared in one pass over the documents, at most; more are done in several passes.
 ITEMS_PER_PASS = 20_000
+#: Cosines computed at a time, at most.
+CELLS = 4_000_000
 
 
 @dataclass
@@ -161,49 +163,71 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary())], names=["z"])
 
 
+@dataclass
+class Space:
+    """The latent space of all items, whatever the pass that compares them."""
+
+    terms: Terms
+    basis: np.ndarray  # weighted term vectors in the latent space
+
+
 @dataclass
 class Index:
     """What each task of the search needs: bounded by the items of one pass, not by the documents."""
 
     items: list[Item]
     terms: Terms
-    basis: np.ndarray  # weighted term vectors in the latent space
+    basis: np.ndarray
     vectors: np.ndarray  # unit vectors of the items
 
 
-def build_index(docs: DataFrame, items: list[Item], seed: int = 11) -> Index:
-    """The latent space of `items` over all passages of docs (id, text): document frequencies in one pass,
-    the sketch of the SVD in another. The items are rows of the matrix too, weighted to half of its energy."""
-    n_items, all_terms = len(items), Terms(np.concatenate([i.words for i in items]) if items else np.zeros(0, np.uint64))
+def _own(items: list[Item], terms: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """(item's place, term) of each known word of items."""
+    hit = [terms.find(i.words) for i in items]
+    return np.repeat(np.arange(len(items)), [int((x >= 0).sum()) for x in hit]), np.concatenate([x[x >= 0] for x in hit] + [np.zeros(0, np.int64)])
+
+
+def build_space(docs: DataFrame, pages: Callable[[], Iterator[list[Item]]], seed: int = 11) -> Space:
+    """The latent space of the items of all pages over all passages of docs (id, text): document frequencies in one
+    pass, the sketch of the SVD in another. The items are rows of the matrix too, weighted to half of its energy."""
+    words, n_items = np.zeros(0, np.uint64), 0
+    for items in pages():
+        words, n_items = np.unique(np.concatenate([words, *[i.words for i in items]])), n_items + len(items)
+    all_terms = Terms(words)
     rows = arrow_map(docs, lambda it: _frequencies(it, all_terms), "term long, df long").groupBy("term").agg(F.sum("df")).collect()
     df = np.zeros(len(all_terms.known) + 1)
     for t, n in rows:
         df[t] = n
     passages, df = df[-1] + n_items, df[:-1]
-    own = [np.unique(all_terms.find(i.words)) for i in items]
-    for o in own:
-        df[o] += 1
+    for items in pages():
+        for i in items:
+            df[np.unique(all_terms.find(i.words))] += 1
     keep = df <= COMMON * passages
-    for o in own:
-        if keep[o].sum() < LEAST_TERMS:
-            keep[o[np.argsort(df[o], kind="stable")[:LEAST_TERMS]]] = True
+    for items in pages():
+        for i in items:
+            o = np.unique(all_terms.find(i.words))
+            if keep[o].sum() < LEAST_TERMS:
+                keep[o[np.argsort(df[o], kind="stable")[:LEAST_TERMS]]] = True
     terms = Terms(all_terms.known[keep])
     w = np.log((passages + 1) / df[keep]) + 0.1
     rng = np.random.default_rng(seed)
     omega = rng.standard_normal((len(terms.known), RANK + OVERSAMPLE)).astype(np.float32)
     parts = arrow_map(docs, lambda it: _sketched(it, terms, w, omega), "z binary")
-    parts = arrow_map(parts.repartition(8), _summed, "z binary").collect()
-    z = np.sum([np.frombuffer(r[0], np.float32) for r in parts], axis=0).reshape(omega.shape) if parts else np.zeros(omega.shape, np.float32)
-    hit = [terms.find(i.words) for i in items]
-    p = np.repeat(np.arange(n_items), [int((x >= 0).sum()) for x in hit])
-    t = np.concatenate([x[x >= 0] for x in hit]) if items else np.zeros(0, np.int64)
-    _gram_sketch(p, t, w, omega, z, scale=max(1.0, (passages - n_items) / max(1, n_items)))
+    parts = arrow_map(parts.repartition(8), _summed, "z binary")
+    parts = arrow_map(parts.repartition(1), _summed, "z binary").collect()
+    z = np.frombuffer(parts[0][0], np.float32).reshape(omega.shape).copy() if parts else np.zeros(omega.shape, np.float32)
+    for items in pages():
+        _gram_sketch(*_own(items, terms), w, omega, z, scale=max(1.0, (passages - n_items) / max(1, n_items)))
     u = np.linalg.svd(z.astype(np.float64), full_matrices=False)[0][:, :RANK] if len(z) else np.zeros((0, RANK))
-    basis = (u * w[:, None]).astype(np.float32)
-    vectors = np.zeros((n_items, basis.shape[1]), np.float32)
-    np.add.at(vectors, p, basis[t])
+    return Space(terms, (u * w[:, None]).astype(np.float32))
+
+
+def build_index(space: Space, items: list[Item]) -> Index:
+    vectors = np.zeros((len(items), space.basis.shape[1]), np.float32)
+    p, t = _own(items, space.terms)
+    np.add.at(vectors, p, space.basis[t])
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return Index(items, terms, basis, np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0))
+    return Index(items, space.terms, space.basis, np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0))
 
 
 def _candidates(index: Index, blocks: np.ndarray, t: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,8 +250,9 @@ def _candidates(index: Index, blocks: np.ndarray, t: np.ndarray, b: np.ndarray,
     norm = np.linalg.norm(vec, axis=1, keepdims=True)
     vec = np.divide(vec, norm, out=np.zeros_like(vec), where=norm > 0)
     out = []
-    for c in range(0, len(vec), 4096):
-        score = vec[c : c + 4096] @ index.vectors.T
+    step = max(1, CELLS // max(1, len(index.vectors)))
+    for c in range(0, len(vec), step):
+        score = vec[c : c + step] @ index.vectors.T
         r, i = np.nonzero(score >= cosine)
         out.append((starts[r + c], i, score[r, i]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -258,20 +283,24 @@ def _leaks(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
 
 
 def read_items(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None) -> Iterator[list[Item]]:
-    """The benchmark in runs of at most ITEMS_PER_PASS items, by id; blank items are left out."""
+    """The benchmark in runs of at most ITEMS_PER_PASS items, by id, text and answer; blank items are left out."""
     cols = [F.col(item_col).alias("i"), F.col(text_col).alias("t"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")]
     src = benchmark.select(*cols).where("i is not null and t is not null").distinct()
-    last = None
+    kinds = [src.schema["i"].dataType, "string", "string", "boolean"]
+    key, last = F.struct("i", "t", F.coalesce("a", F.lit("")).alias("b"), F.col("a").isNotNull().alias("c")), None
     while True:
-        part = src if last is None else src.where(F.col("i") > last)
-        rows = part.orderBy("i", "t").limit(ITEMS_PER_PASS).collect()
+        part = src if last is None else src.where(key > F.struct(*[F.lit(v).cast(kind) for v, kind in zip(last, kinds, strict=True)]))
+        rows = part.orderBy(key).limit(ITEMS_PER_PASS).collect()
         if not rows:
             return
         words, answers = word_hashes([r.t for r in rows]), word_hashes([r.a if r.a is not None else answer_of(r.t) for r in rows])
-        yield [Item(r.i, x, y if len(y) else x) for r, x, y in zip(rows, words, answers, strict=True) if len(x)]
+        items = [Item(r.i, x, y if len(y) else x) for r, x, y in zip(rows, words, answers, strict=True) if len(x)]
+        if items:
+            yield items
         if len(rows) < ITEMS_PER_PASS:
             return
-        last = rows[-1].i
+        r = rows[-1]
+        last = (r.i, r.t, r.a or "", r.a is not None)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
@@ -282,22 +311,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     least. It is a leak if, widened by the item's length on both sides, it holds VERBATIM of the item's words
     in order, or PARAPHRASE of them and ANSWER of the answer's (a column of the benchmark, else its last
     sentence). Words are runs of letters and digits, lower-cased. Whole texts are searched. Null or empty
-    texts, blank items and an empty benchmark give no row; repeated rows of docs repeat theirs.
+    texts, blank items and an empty benchmark give no row; repeated rows of docs repeat theirs, also with null ids;
+    of items that share an id each is compared. Of several passages the one with the largest share is told, on ties
+    the largest answer share, cosine and place. Other columns aren't read, so their names don't matter.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item_id long, lcs_share double, answer_share double, cosine double, word_from long, word_to long"
-    out = None
-    for items in read_items(benchmark, item_col, item_text, answer_col):
-        if items:
-            index = build_index(src, items)
-            part = arrow_map(src, lambda it, index=index: _leaks(it, index), schema)
-            out = part if out is None else out.unionByName(part)
+    kept: list[list[Item]] = []
+
+    def pages() -> Iterator[list[Item]]:
+        if kept:
+            yield from kept  # one run is read once
+            return
+        for n, items in enumerate(read_items(benchmark, item_col, item_text, answer_col)):
+            if n == 0 and len(items) < ITEMS_PER_PASS:
+                kept.append(items)
+            yield items
+
+    out, space = None, build_space(src, pages) if any(True for _ in pages()) else None
+    for items in pages():
+        index = build_index(space, items)
+        part = arrow_map(src, lambda it, index=index: _leaks(it, index), schema)
+        out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
     return out.withColumnRenamed("id", id_col)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contaminated() of all documents by all benchmark items."""
     out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", F.round("lcs_share", 6).alias("lcs_share"), F.round("answer_share", 6).alias("answer_share"))

@@ -12,15 +12,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, cut, discard, few_of_each, table
 from .words import pieces
 
 GRAM = 4
 #: Labelled documents of each language that the filters are fitted on, at most.
 SAMPLE_PER_LANGUAGE = 2000
+#: Sampled ids that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 #: A language's filter takes an n-gram whose share of its texts is at least this part of the largest share.
 RELATIVE = 0.3
 #: ... and which at least so many of its sampled texts contain.
@@ -118,17 +120,18 @@ def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[BloomSlices, str]:
     """(filters, most frequent language) of labelled (id, text, lang). Fitted on the per_language documents
-    of each language whose hashed id is smallest; what reaches the driver is bounded by that sample."""
-    ids = labelled.where("lang is not null and text is not null").select("id", "lang", F.xxhash64("id").alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = ids.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_language).select("id", "lang")
-    sample = labelled.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
+    of each language whose hashed id is smallest; what reaches the driver is bounded by that sample. Without
+    any labelled text the filters are of no language, and the language is `und`."""
+    chosen = cut(few_of_each(labelled.where("lang is not null and text is not null").select("id", "lang"), "lang", "id", per_language), "lang-sample")
+    sizes = {r[0]: r[1] for r in chosen.groupBy("lang").count().collect()}
+    if not sizes:
+        return BloomSlices({}), "und"
+    small = sum(sizes.values()) <= BROADCAST_IDS
+    sample = labelled.join(F.broadcast(chosen) if small else chosen, ["id", "lang"], "left_semi").select("lang", "text")
     counts = arrow_map(sample, _texts_with, "lang string, gram long, texts long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
-    sizes = {r[0]: r[1] for r in chosen.groupBy("lang").count().collect()}
     rows = counts.toArrow()
-    if not sizes:
-        raise ValueError("no labelled text to learn from")
+    discard(chosen)
     langs = sorted(sizes)
     code = {x: i for i, x in enumerate(langs)}
     li = np.array([code[x] for x in rows.column("lang").to_pylist()], np.int64)
@@ -147,8 +150,8 @@ def _predicted(batches: Iterator[pa.RecordBatch], filters: BloomSlices, usual: s
             g, bounds = _grams(data, off)
             c = filters.counts(g, bounds)
             total = c.sum(axis=1)
-            best = c.argmax(axis=1)
-            score = np.divide(c.max(axis=1), total, out=np.zeros(len(total)), where=total > 0)
+            best = c.argmax(axis=1) if filters.langs else np.zeros(len(total), int)
+            score = np.divide(c.max(axis=1, initial=0), total, out=np.zeros(len(total)), where=total > 0)
             lang = [filters.langs[b] if t > 0 else usual for b, t in zip(best, total, strict=True)]
             score = np.clip(score, 0, 1)
             keep = [rows.column(i) for i in range(rows.num_columns) if i != 1]
@@ -161,8 +164,8 @@ def identify(docs: DataFrame, filters: BloomSlices, usual: str, id_col: str = "d
 
     score is the winner's part of all languages' corrected counts. A null text or one without a letter gives
     `und` with score 0; a text whose n-grams are in no filter gives the most frequent language with score 0;
-    ties go to the first language by name. Null ids are kept; repeated rows each give a row; an empty table
-    gives none.
+    ties go to the first language by name; filters of no language give `usual`. Null ids are kept; repeated rows
+    each give a row; an empty table gives none. Other columns aren't read, so their names don't matter.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
     kind = src.schema["id"].dataType.simpleString()
@@ -214,8 +217,11 @@ def _told(batches: Iterator[pa.RecordBatch], filters: BloomSlices, least: np.nda
 
 
 def with_language(docs: DataFrame, filters: BloomSlices, least: np.ndarray) -> DataFrame:
-    """The rows of docs (with a column `text`) whose text has a letter and reaches the bar of its best language."""
+    """The rows of docs (with a column `text`), with all columns, whose text has a letter and reaches the bar of its
+    best language. Null and empty texts go; repeated rows stay or go together; filters of no language reject nothing more."""
     some = docs.where(F.col("text").rlike(r"\p{L}"))
+    if not filters.langs:
+        return some
     return arrow_map(some, lambda it: _told(it, filters, least), docs.schema)
 
 
@@ -224,6 +230,7 @@ def held_out(doc_id, modulus: int, left: int):
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of all documents, fitted on those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     train = docs.where(~held_out("doc_id", 3, 1)).select(F.col("doc_id").alias("id"), "text", "lang")
     filters, usual = fit(train)

@@ -5,7 +5,7 @@ import pytest
 
 from lexiloom.llm import op5_embeddings, op6_langid, op7_packing, op9_toxicity, op10_decontaminate
 
-from .helpers import components, documents, frame, save
+from .helpers import components, documents, frame, prose, save
 
 SF = "/root/testdata/sf0.01"
 
@@ -57,6 +57,27 @@ def test_op6_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_op6_counts_against_sets(spark, docs):
+    """Bloom counts, corrected, against exact sets of n-grams."""
+    filters, _ = op6_langid.fit(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id as id", "text", "lang"))
+    rng = np.random.default_rng(1)
+    own = {x: rng.integers(0, 2**32, 3000, dtype=np.uint64).astype(np.uint32) for x in ("aa", "bb", "cc")}
+    slices = op6_langid.BloomSlices(own)
+    texts = [np.concatenate([own["aa"][:700], own["bb"][:200], rng.integers(0, 2**32, 600, dtype=np.uint64).astype(np.uint32)]), own["cc"], np.zeros(0, np.uint32)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    got = slices.counts(np.concatenate(texts), bounds)
+    want = np.array([[np.isin(t, own[x]).sum() for x in slices.langs] for t in texts])
+    assert np.abs(got - want).max() <= 30 and (got.argmax(axis=1)[:2] == want.argmax(axis=1)[:2]).all() and (got[2] == 0).all()
+    assert len(filters.langs) == 4
+
+
+def test_op6_without_labels(spark, docs):
+    filters, usual = op6_langid.fit(docs.selectExpr("doc_id as id", "text", "cast(null as string) as lang"))
+    got = op6_langid.identify(docs, filters, usual).collect()
+    assert len(got) == docs.count() and {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
+    assert op6_langid.identify(docs.limit(0), *op6_langid.fit(docs.limit(0).selectExpr("doc_id as id", "text", "lang"))).count() == 0
+
+
 def test_op6_cases(spark, docs):
     filters, usual = op6_langid.fit(docs.selectExpr("doc_id as id", "text", "lang"))
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op6_langid.identify(docs, filters, usual).collect()}
@@ -148,6 +169,33 @@ def test_op10_finds_planted_items(spark):
     assert op10_decontaminate.contaminated(plain.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_op10_paraphrases_against_brute_force(spark, monkeypatch):
+    """Items with words swapped, left out and put in, over pages of items and ids that items share: all that the rule on
+    whole documents tells are found but for one in twenty, and nothing else."""
+    monkeypatch.setattr(op10_decontaminate, "ITEMS_PER_PASS", 7)
+    rng = np.random.default_rng(6)
+    items = [(k // 3, prose(3000 + k, 40) + ". " + prose(4000 + k, 8) + ".") for k in range(30)] + [(50, None), (51, " ")]
+    docs = []
+    for k in range(120):
+        words = items[k % 30][1].split()
+        for _ in range(rng.integers(0, 30)):
+            i = int(rng.integers(len(words)))
+            words[i : i + 1] = [[], ["swapped"], [words[i], "more"]][rng.integers(3)]
+        docs.append((k, prose(k, 70) + " " + " ".join(words) + " " + prose(9000 + k, 60)))
+    item_hash = op10_decontaminate.word_hashes([t or "" for _, t in items])
+    answers = op10_decontaminate.word_hashes([op10_decontaminate.answer_of(t or "") for _, t in items])
+    want = set()
+    for (d, _), h in zip(docs, op10_decontaminate.word_hashes([t for _, t in docs]), strict=True):
+        for (i, _), x, a in zip(items, item_hash, answers, strict=True):
+            if len(x):
+                share, answer = op10_decontaminate.lcs(x, h) / len(x), op10_decontaminate.lcs(a, h) / len(a)
+                if share >= 0.8 or share >= 0.6 and answer >= 0.8:
+                    want.add((d, i))
+    got = op10_decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    assert len(want) > 40 and found <= want and len(found) >= 0.95 * len(want)
+
+
 def test_op10_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(30):
