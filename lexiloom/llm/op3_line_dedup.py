@@ -9,16 +9,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, discard, table
+from .common import arrow_map, cut, discard, runs, table
 from .words import SPACES, hashes, mix, pieces, powers, spans
 
 #: Edits between near-equal lines, at most: of characters in lines of fewer than LEAST_WORDS words, else of words.
 EDITS = 2
 #: One more edit for each WORDS_PER_EDIT words beyond as many, up to MOST_EDITS.
-WORDS_PER_EDIT, MOST_EDITS = 50, 6
+WORDS_PER_EDIT, MOST_EDITS = 75, 6
 LEAST_WORDS = 12
 #: Code points of a short line, at least, for near-equality; shorter lines are only compared for equality.
 LEAST_CHARS = 20
@@ -26,6 +26,8 @@ LEAST_CHARS = 20
 BROADCAST_IDS = 100_000
 #: Bytes of text that are signed at a time, line keys that a task remembers, and cells of one run of edit distances.
 PIECE, REMEMBERED, CELLS = 1 << 18, 500_000, 2_000_000
+#: Lines of a bucket that one task compares at a time; fuller buckets are dealt into cells.
+CELL_ROWS = 4096
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -169,19 +171,20 @@ def _band(long: list[np.ndarray], short: list[np.ndarray], m: np.ndarray, k: np.
     return dist
 
 
-def near_equal(x: list[str], y: list[str]) -> np.ndarray:
-    """For each pair of lines whether it is near-equal: by words (A-Z as a-z) if both have LEAST_WORDS of them,
-    else by characters, if both have LEAST_CHARS."""
+def near_equal(lines: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair (x, y) of places in lines whether these are near-equal: by words (A-Z as a-z) if both have
+    LEAST_WORDS of them, else by characters, if both have LEAST_CHARS."""
     known: dict[bytes, int] = {}
-    p, q = ([np.array([known.setdefault(w, len(known)) for w in v.encode("utf-8", "surrogatepass").lower().split()], np.uint64) for v in side] for side in (x, y))
-    least = np.array([min(len(a), len(b)) for a, b in zip(p, q, strict=True)], np.int64)
+    use = np.unique(np.concatenate([x, y])).tolist()
+    words = {i: np.array([known.setdefault(w, len(known)) for w in lines[i].encode("utf-8", "surrogatepass").lower().split()], np.uint64) for i in use}
+    least = np.array([min(len(words[i]), len(words[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
     out, by_word = np.zeros(len(x), bool), least >= LEAST_WORDS
     for t in np.unique(allowed(least[by_word])).tolist():
         at = np.flatnonzero(by_word & (allowed(least) == t))
-        out[at] = edit_within([p[i] for i in at], [q[i] for i in at], t)
-    at = [i for i in np.flatnonzero(~by_word) if min(len(x[i]), len(y[i])) >= LEAST_CHARS]
-    codes = [[np.frombuffer(v[i].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for i in at] for v in (x, y)]
-    out[at] = edit_within(*codes, EDITS)
+        out[at] = edit_within([words[i] for i in x[at].tolist()], [words[i] for i in y[at].tolist()], t)
+    at = np.array([k for k in np.flatnonzero(~by_word).tolist() if min(len(lines[x[k]]), len(lines[y[k]])) >= LEAST_CHARS], np.int64)
+    codes = {i: np.frombuffer(lines[i].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for i in np.unique(np.concatenate([x[at], y[at]])).tolist()}
+    out[at] = edit_within([codes[i] for i in x[at].tolist()], [codes[i] for i in y[at].tolist()], EDITS)
     return out
 
 
@@ -234,10 +237,45 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (b, x, y) to the b of near-equal lines x and y."""
     for rb in batches:
         for a in range(0, rb.num_rows, 2048):
             part = rb.slice(a, 2048)
-            yield part.select(["a", "b"]).filter(pa.array(near_equal(part.column(2).to_pylist(), part.column(3).to_pylist())))
+            n, lines = part.num_rows, part.column(1).to_pylist() + part.column(2).to_pylist()
+            yield part.select(["b"]).filter(pa.array(near_equal(lines, np.arange(n), np.arange(n, 2 * n))))
+
+
+def _late(cell: pa.Table) -> np.ndarray:
+    """Places of the lines of a cell (in order of occurrence) that are asked for and near-equal to an earlier one
+    of its members: the likeliest of each first, then twice as many, until one is found or there are no more."""
+    parity, edits = cell.column("parity").to_numpy().view(np.uint64), cell.column("edits").to_numpy().astype(np.int64)
+    asked, member = (cell.column(c).to_numpy() for c in ("asked", "member"))
+    lines, inside, found = cell.column("words").to_pylist(), np.flatnonzero(member), []
+    for part in np.array_split(np.flatnonzero(asked), -(-int(asked.sum()) // 256) or 1):
+        differ = np.bitwise_count(parity[part][:, None] ^ parity[inside][None]).astype(np.int64)
+        fits = (differ <= 4 * np.maximum(edits[part][:, None], edits[inside][None])) & (inside[None] < part[:, None])
+        row, col = np.nonzero(fits)
+        order = np.lexsort((differ[row, col], row))
+        row, col = row[order], inside[col[order]]
+        first, take, open_ = np.searchsorted(row, np.arange(len(part) + 1)), 1, np.ones(len(part), bool)
+        nth = np.arange(len(row)) - first[row]
+        done = 0
+        while True:
+            at = np.flatnonzero((nth >= done) & (nth < done + take) & open_[row])
+            if not len(at):
+                break
+            for lo in range(0, len(at), 4096):
+                some = at[lo : lo + 4096]
+                open_[row[some[near_equal(lines, part[row[some]], col[some])]]] = False
+            done, take = done + take, 2 * take
+        found.append(part[~open_])
+    return np.concatenate(found)
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cell in runs(batches, "cell"):
+        cell = cell.combine_chunks()
+        yield pa.RecordBatch.from_arrays([cell.column("line").combine_chunks().take(pa.array(_late(cell)))], names=["b"])
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -248,53 +286,77 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return cut(docs.withColumn(name, F.monotonically_increasing_id()), "ln-rows"), name
 
 
-def similar_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, pairs) of the lines of rows (row, id, text). occurrences: row, id, pos, k1, k2 (the line's
-    key), chars. pairs: a, b (k1 of distinct lines that are near-equal).
-
-    Lines are compared without white space at their ends. A copy of a line adds no pair: classes of equal lines are
-    joined, not their members. Null texts have no line; an empty text has one empty line.
-    """
-    src = rows.select("row", "id", "text")
-    kind = src.schema["id"].dataType.simpleString()
-    where = cut(arrow_map(src, _occurrences, f"row long, id {kind}, pos long, k1 long, k2 long, chars long"), "ln-where")
-    signed = arrow_map(src, _signed, "key long, line long, parity long, edits byte, entry boolean")
-    # An entry also stands for the probe at its own place. Both sides use all columns and no condition is on one
-    # side only, so one exchange serves both; it is the join's own, which AQE may split where a segment is frequent.
-    # Pairs whose parities rule them out never leave the join.
-    x, y = signed.toDF("key", "a", "pa", "ea", "ia"), signed.toDF("key", "b", "pb", "eb", "ib")
-    edits = F.greatest(F.when(F.col("ia"), F.col("ea")), F.when(F.col("ib"), F.col("eb")))
-    cand = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * edits)).select("a", "b")
-    cand = cut(cand.distinct(), "ln-cand")
-    need = cut(cand.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "ln-need")
-    first = where.join(need, "k1", "left_semi").groupBy("k1").agg(F.min(F.struct("row", "pos")).alias("at"))
+def _texts(src: DataFrame, where: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, words): the text of each line of the table lines (line, distinct), read where it stands first."""
+    first = where.join(lines.withColumnRenamed("line", "k1"), "k1", "left_semi").groupBy("k1").agg(F.min(F.struct("row", "pos")).alias("at"))
     per = cut(first.groupBy("at.row").agg(F.collect_list("at.pos").alias("ps"), F.collect_list("k1").alias("ks")), "ln-fetch")
     small = per.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = src.join(F.broadcast(per) if small else per, "row").select("row", "text", "ps", "ks")
     texts = cut(arrow_map(texts, _chosen, "line long, words string"), "ln-texts")
+    discard(per)
+    return texts
+
+
+def near_lines(src: DataFrame, where: DataFrame, lines: DataFrame) -> DataFrame:
+    """k1 of the lines that are near-equal to another line which occurs earlier.
+
+    src: row, id, text; where: its lines' occurrences; lines: k1 and `first`, the order of first occurrence. A copy of a line
+    adds nothing: classes of equal lines are compared. Of a bucket of lines that share a segment each is first compared with the
+    earliest. Those that this doesn't settle are compared, inside Arrow tasks, with all earlier lines of
+    their buckets, until one is near-equal. Only lines become rows, never pairs of a group.
+    """
+    signed = arrow_map(src, _signed, "key long, line long, parity long, edits byte, entry boolean")
+    w = Window.partitionBy("key")
+    open_ = signed.select("*", (F.min("line").over(w) < F.max("line").over(w)).alias("several"), F.max("entry").over(w).alias("indexed"))
+    open_ = cut(open_.where("several and indexed").select("key", "line", "parity", "edits").distinct(), "ln-open")
+    open_, old = cut(open_.join(lines.select(F.col("k1").alias("line"), "first"), "line"), "ln-ordered"), open_
+    lead = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("first", "line", "parity", "edits")).alias("lead"))
+    lead = cut(lead.select("key", "m", F.col("lead.line").alias("a"), F.col("lead.parity").alias("pa"), F.col("lead.edits").alias("ea")), "ln-lead")
+    led = open_.join(lead, "key").where("line <> a")
+    likely = F.bit_count(F.col("parity").bitwiseXOR(F.col("pa"))) <= 4 * F.greatest("edits", "ea").cast("int")
+    cand = cut(led.where(likely).select("a", F.col("line").alias("b")).distinct(), "ln-cand")
+    texts = _texts(src, where, cut(cand.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "ln-need"))
     both = cand.join(texts.select(F.col("line").alias("a"), F.col("words").alias("x")), "a")
-    both = both.join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
-    pairs = cut(arrow_map(both, _close, "a long, b long"), "ln-pairs")
-    for t in (cand, need, per, texts):
+    both = both.join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b").select("b", "x", "y")
+    settled = cut(arrow_map(both, _close, "b long").distinct(), "ln-settled")
+    # what is left, in buckets with more lines than the earliest and one other
+    left = led.where("m > 2").join(settled.withColumnRenamed("b", "line"), "line", "left_anti").select("key", "line", "m")
+    left = cut(left, "ln-left")
+    many = left.groupBy("key").agg(F.count(F.lit(1)).alias("u"), F.max("m").alias("m"))
+    many = cut(many.select("key", F.ceil(F.col("u") / (CELL_ROWS / 4)).cast("int").alias("down"), F.ceil(F.col("m") / CELL_ROWS).cast("int").alias("across")), "ln-many")
+    rows = open_.join(many, "key").join(left.select("key", "line", F.lit(True).alias("left")), ["key", "line"], "left")
+    down, across = F.pmod(F.xxhash64("line", F.lit(1)), "down").cast("int"), F.pmod(F.xxhash64("line", F.lit(2)), "across").cast("int")
+    as_member = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda d: F.struct(d.alias("d"), across.alias("c")))
+    as_asked = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda c: F.struct(down.alias("d"), c.alias("c")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("left"), F.array_union(as_member, as_asked)).otherwise(as_member)))
+    rows = rows.select(
+        F.concat_ws("/", "key", "at.d", "at.c").alias("cell"), "first", "line", "parity", "edits",
+        (F.coalesce("left", F.lit(False)) & (F.col("at.d") == down)).alias("asked"), (F.col("at.c") == across).alias("member"),
+    )
+    more = _texts(src, where, cut(rows.select("line").distinct(), "ln-need"))
+    rows = rows.join(more, "line").repartition("cell").sortWithinPartitions("cell", "first").select("cell", "line", "parity", "edits", "asked", "member", "words")
+    later = cut(arrow_map(rows, _later, "b long"), "ln-later")
+    near = cut(settled.unionByName(later).distinct().withColumnRenamed("b", "k1"), "ln-near")
+    for t in (old, open_, lead, cand, texts, settled, left, many, more, later):
         discard(t)
-    return where, pairs
+    return near
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """(row, n_lines, n_copies, n_near, dropped) of those of rows (row, id, text) that have a line."""
-    where, pairs = similar_lines(rows)
+    src = rows.select("row", "id", "text")
+    kind = src.schema["id"].dataType.simpleString()
+    where = cut(arrow_map(src, _occurrences, f"row long, id {kind}, pos long, k1 long, k2 long, chars long"), "ln-where")
     real, place = where.where("chars > 0"), F.struct("id", "row", "pos")
     lines = cut(real.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "ln-lines")
-    heads = lines.select("k1", "first")
-    j = pairs.join(heads.select(F.col("k1").alias("a"), F.col("first").alias("fa")), "a").join(heads.select(F.col("k1").alias("b"), F.col("first").alias("fb")), "b")
-    near = cut(j.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("k1")).distinct(), "ln-near")
+    near = near_lines(src, where, lines)
     bad = lines.join(near.withColumn("near", F.lit(True)), "k1", "left").where("c > 1 or near")
     bad = cut(bad.select("k1", "k2", F.col("first.row").alias("frow"), F.col("first.pos").alias("fpos"), F.coalesce("near", F.lit(False)).alias("near")), "ln-bad")
     gone = real.join(bad, ["k1", "k2"]).withColumn("copy", (F.col("row") != F.col("frow")) | (F.col("pos") != F.col("fpos"))).where("near or copy")
     per = gone.groupBy("row").agg(F.count_if("copy").alias("n_copies"), F.count_if(~F.col("copy")).alias("n_near"), F.sort_array(F.collect_list("pos")).alias("dropped"))
     base = where.groupBy("row").agg((F.max("pos") + 1).alias("n_lines"))
     out = cut(base.join(per, "row", "left"), "ln-rows-out")
-    for t in (where, pairs, lines, near, bad):
+    for t in (where, lines, near, bad):
         discard(t)
     return out
 

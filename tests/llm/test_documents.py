@@ -28,7 +28,7 @@ def _near(x: str, y: str) -> bool:
     p, q = words(x), words(y)
     least = min(len(p), len(q))
     if least >= 12:
-        edits = min(6, 2 + max(0, (least - 50) // 50))
+        edits = min(6, 2 + max(0, (least - 75) // 75))
         return abs(len(p) - len(q)) <= edits and _edit(p, q) <= edits
     return min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= 2 and _edit(x, y) <= 2
 
@@ -71,7 +71,7 @@ def test_op3_long_lines(spark):
     """Lines of 8 to 330 words, altered in up to four words or characters."""
     r, rows = random.Random(4), []
     for k in range(90):
-        base = prose(500 + k % 30, (8, 11, 12, 13, 40, 70, 99, 100, 101, 149, 150, 330)[k % 30 % 12]).split()
+        base = prose(500 + k % 30, (8, 11, 12, 13, 40, 70, 99, 148, 149, 150, 151, 330)[k % 30 % 12]).split()
         line = list(base)
         for _ in range(r.randrange(0, 5)):
             i = r.randrange(len(line))
@@ -81,6 +81,20 @@ def test_op3_long_lines(spark):
     assert sum(w[1] for w in want) > 10
 
 
+def test_op3_group_of_near_lines(spark, monkeypatch):
+    """300 variants of a line, most of them further than the threshold from the earliest, dealt into several cells."""
+    monkeypatch.setattr(op3_line_dedup, "CELL_ROWS", 64)
+    r, base, rows = random.Random(3), prose(31, 40).split(), []
+    for k in range(300):
+        line = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 4))):
+            line[r.randrange(40)] = f"other{r.randrange(3)}"
+        rows.append((k, " ".join(line)))
+    r.shuffle(rows)
+    _, want = _check_lines(spark, rows)
+    assert 100 < sum(w[1] for w in want) < 300
+
+
 def test_op3_rows_that_share_an_id(spark):
     rows = [(7, "L\nsecond of the first text"), (7, "top of the other text\nL"), (None, "L"), (None, "alone"), (None, None), (7, "L\nsecond of the first text"), (8, ""), (8, "a" * 150_000 + "\n" + "a" * 150_000)]
     table, want = _check_lines(spark, rows)
