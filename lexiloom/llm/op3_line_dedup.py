@@ -4,6 +4,7 @@ verified with a banded bit-parallel edit distance. Long lines are sequences of w
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,9 @@ LEAST_CHARS = 20
 #: Documents of candidates that are broadcast instead of joined by a shuffle, at most.
 BROADCAST_IDS = 100_000
 #: Bytes of text that are signed at a time, line keys that a task remembers, and cells of one run of edit distances.
-PIECE, REMEMBERED, CELLS = 1 << 18, 500_000, 2_000_000
+PIECE, REMEMBERED, CELLS = 1 << 19, 500_000, 2_000_000
+#: Bits of a line's sketch.
+PARITIES = 56
 #: Lines of a bucket that one task compares at a time; fuller buckets are dealt into cells.
 CELL_ROWS = 4096
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -44,7 +47,7 @@ class Sequences:
         up, self.down = powers(n + 1)
         self.run = np.zeros(n + 1, np.uint64)
         np.cumsum(value * up[:n], out=self.run[1:])
-        bits = np.uint64(1) << (mix(value[:-1] * _SALT + value[1:]) >> np.uint64(58)) if n > 1 else np.zeros(0, np.uint64)
+        bits = np.uint64(1) << ((mix(value[:-1] * _SALT + value[1:]) >> np.uint64(32)) * np.uint64(PARITIES) >> np.uint64(32)) if n > 1 else np.zeros(0, np.uint64)
         even = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)]) if n > 1 else np.zeros(1, np.uint64)
         last = len(even) - 1
         #: Parities of the counts of hashed pairs of symbols; one edit flips four of them at most.
@@ -67,14 +70,14 @@ class Lines:
         coded = [x.encode("utf-8", "surrogatepass") for x in self.flat]
         key = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded)), np.uint64).reshape(-1, 2)
         self.k1, self.k2 = key[:, 0].copy(), key[:, 1].copy()
-        self.data = np.frombuffer(b"\n".join(coded), np.uint8)
-        off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in coded])]).astype(np.int64)
-        off[-1] = len(self.data)
-        self.begin, self.end, self.first = spans(self.data, off, SPACES)
-        self.words = np.diff(self.first) if coded else np.zeros(0, np.int64)
+        self.coded = coded
 
     def by_words(self) -> Sequences:
-        return Sequences(hashes(self.data, self.begin, self.end), self.first[:-1], self.words)
+        data = np.frombuffer(b"\n".join(self.coded), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in self.coded])]).astype(np.int64)
+        off[-1] = len(data)
+        begin, end, first = spans(data, off, SPACES)
+        return Sequences(hashes(data, begin, end), first[:-1], np.diff(first))
 
     def by_chars(self, use: np.ndarray) -> Sequences:
         codes = np.frombuffer("".join(self.flat[i] for i in use).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -82,9 +85,10 @@ class Lines:
         return Sequences(mix(codes.astype(np.uint64) + np.uint64(0x5851F42D)), np.cumsum(size) - size, size)
 
 
-def segments(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of segment i of lines of `length`: the last length % (edits + 1) segments are one longer."""
-    base, extra = length // (edits + 1), length % (edits + 1)
+def segments(length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the edits + 1 segments of lines of `length`, a column each: the last
+    length % (edits + 1) segments are one longer."""
+    base, extra, i = (length // (edits + 1))[:, None], (length % (edits + 1))[:, None], np.arange(edits + 1)[None]
     short = edits + 1 - extra
     start = i * base + np.maximum(0, i - short)
     return start, start + base + (i >= short)
@@ -96,28 +100,30 @@ def signatures(lines: Sequences, edits, least: int, kind: int) -> Iterator[tuple
     threshold (multi-match-aware selection of places). edits: thresholds by sizes; kind: told apart in keys."""
     longest = int(lines.size.max()) if len(lines.size) else 0
 
-    def key(length: np.ndarray, i: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix(lines.hash(s, e) + _SALT * (length.astype(np.uint64) * np.uint64(64) + np.uint64(2 * i + kind)))
+    def key(length: np.ndarray, i: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mix(lines.hash(s, e) + _SALT * (length * 64 + 2 * i + kind).astype(np.uint64))
 
     for t in np.unique(edits(np.arange(least, longest + 1))).tolist():
-        use = np.flatnonzero((lines.size >= least) & (edits(lines.size) == t))
-        at, size = lines.start[use], lines.size[use]
-        for i in range(t + 1):
-            s, e = segments(size, i, t)
-            yield True, t, key(size, i, at + s, at + e), use
+        i = np.arange(t + 1)
         for gap in range(t + 1):
             other = lines.size - gap
-            u = np.flatnonzero((other >= least) & (edits(other) == t))
-            o, a, z = other[u], lines.start[u], lines.size[u]
-            for i in range(t + 1):
-                s, e = segments(o, i, t)
-                lo = np.maximum(np.maximum(s - i, s + gap - (t - i)), 0)
-                hi = np.minimum(np.minimum(s + i, s + gap + (t - i)), z - (e - s))
-                for step in range(2 * t + 1):
-                    p = lo + step
-                    ok = (p <= hi) if gap else (p <= hi) & (p != s)  # the entry's own place is not repeated
-                    if ok.any():
-                        yield False, t, key(o[ok], i, a[ok] + p[ok], a[ok] + p[ok] + (e - s)[ok]), u[ok]
+            use = np.flatnonzero((other >= least) & (edits(other) == t))
+            if not len(use):
+                continue
+            o, at = other[use], lines.start[use][:, None]
+            s, e = segments(o, t)
+            if not gap:
+                yield True, t, key(o[:, None], i[None], at + s, at + e).ravel(), np.repeat(use, t + 1)
+            lo = np.maximum(np.maximum(s - i, s + gap - (t - i)), 0)
+            hi = np.minimum(np.minimum(s + i, s + gap + (t - i)), lines.size[use][:, None] - (e - s))
+            wide = np.maximum(hi - lo + 1, 0).ravel()
+            which = np.repeat(np.arange(len(wide)), wide)
+            p = lo.ravel()[which] + np.arange(len(which)) - np.repeat(np.cumsum(wide) - wide, wide)
+            if not gap:  # the entry's own place is not repeated
+                other_place = p != s.ravel()[which]
+                which, p = which[other_place], p[other_place]
+            line, begin = which // (t + 1), at.ravel()[which // (t + 1)] + p
+            yield False, t, key(o[line], which % (t + 1), begin, begin + (e - s).ravel()[which]), use[line]
 
 
 def edit_within(x: list[np.ndarray], y: list[np.ndarray], edits: int) -> np.ndarray:
@@ -210,19 +216,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.zeros(len(x.k1), bool)
         fresh[first[new]] = True
         words = x.by_words()
+        short = np.flatnonzero(fresh & (words.size < LEAST_WORDS + EDITS) & (x.chars >= LEAST_CHARS))
         words.size = np.where(fresh, words.size, -1)
-        short = np.flatnonzero(fresh & (x.words < LEAST_WORDS + EDITS) & (x.chars >= LEAST_CHARS))
         chars = x.by_chars(short)
-        got = [(g, words.parity[g[3]], g[3]) for g in signatures(words, allowed, LEAST_WORDS, 0)]
-        got += [(g, chars.parity[g[3]], short[g[3]]) for g in signatures(chars, lambda n: np.full(np.shape(n), EDITS), LEAST_CHARS, 1)]
-        for part in (got[i : i + 24] for i in range(0, len(got), 24)):
-            size = [len(line) for _, _, line in part]
-            key = np.concatenate([g[2] for g, _, _ in part])
-            parity, line = np.concatenate([v for _, v, _ in part]), x.k1[np.concatenate([v for _, _, v in part])]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(v.view(np.int64)) for v in (key, line, parity)], pa.array(np.repeat([g[1] for g, _, _ in part], size).astype(np.int8)), pa.array(np.repeat([g[0] for g, _, _ in part], size))],
-                names=["key", "line", "parity", "edits", "entry"],
-            )
+        got = [(g, words.parity, g[3], g[3]) for g in signatures(words, allowed, LEAST_WORDS, 0)]
+        got += [(g, chars.parity, g[3], short[g[3]]) for g in signatures(chars, lambda n: np.full(np.shape(n), EDITS), LEAST_CHARS, 1)]
+        for (entry, t, key, _), parity, own, line in got:
+            mark = (parity[own] << np.uint64(8)) | np.uint64(2 * t + entry)
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (key, x.k1[line], mark)], names=["key", "line", "mark"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,37 +246,44 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["b"]).filter(pa.array(near_equal(lines, np.arange(n), np.arange(n, 2 * n))))
 
 
-def _late(cell: pa.Table) -> np.ndarray:
-    """Places of the lines of a cell (in order of occurrence) that are asked for and near-equal to an earlier one
-    of its members: the likeliest of each first, then twice as many, until one is found or there are no more."""
-    parity, edits = cell.column("parity").to_numpy().view(np.uint64), cell.column("edits").to_numpy().astype(np.int64)
-    asked, member = (cell.column(c).to_numpy() for c in ("asked", "member"))
-    lines, inside, found = cell.column("words").to_pylist(), np.flatnonzero(member), []
-    for part in np.array_split(np.flatnonzero(asked), -(-int(asked.sum()) // 256) or 1):
-        differ = np.bitwise_count(parity[part][:, None] ^ parity[inside][None]).astype(np.int64)
-        fits = (differ <= 4 * np.maximum(edits[part][:, None], edits[inside][None])) & (inside[None] < part[:, None])
-        row, col = np.nonzero(fits)
-        order = np.lexsort((differ[row, col], row))
-        row, col = row[order], inside[col[order]]
-        first, take, open_ = np.searchsorted(row, np.arange(len(part) + 1)), 1, np.ones(len(part), bool)
-        nth = np.arange(len(row)) - first[row]
-        done = 0
-        while True:
-            at = np.flatnonzero((nth >= done) & (nth < done + take) & open_[row])
-            if not len(at):
-                break
-            for lo in range(0, len(at), 4096):
-                some = at[lo : lo + 4096]
-                open_[row[some[near_equal(lines, part[row[some]], col[some])]]] = False
-            done, take = done + take, 2 * take
-        found.append(part[~open_])
-    return np.concatenate(found)
+def _late(cells: list[pa.Table]) -> np.ndarray:
+    """Of cells, each in order of occurrence, the lines that are asked for and near-equal to an earlier member of
+    their cell: the likeliest of each is tried first, then twice as many, until one is found or there are no more."""
+    row, col, differs, base = [], [], [], 0
+    for cell in cells:
+        mark, inside = cell.column("mark").to_numpy().view(np.uint64), np.flatnonzero(cell.column("member").to_numpy())
+        edits = ((mark >> np.uint64(1)) & np.uint64(127)).astype(np.int64)
+        for part in np.array_split(np.flatnonzero(cell.column("asked").to_numpy()), -(-cell.num_rows // 256)):
+            differ = np.bitwise_count((mark[part][:, None] ^ mark[inside][None]) >> np.uint64(8)).astype(np.int64)
+            fits = (differ <= 4 * np.maximum(edits[part][:, None], edits[inside][None])) & (inside[None] < part[:, None])
+            r, c = np.nonzero(fits)
+            row.append(part[r] + base)
+            col.append(inside[c] + base)
+            differs.append(differ[r, c])
+        base += cell.num_rows
+    lines = [v for cell in cells for v in cell.column("words").to_pylist()]
+    row, col = np.concatenate(row), np.concatenate(col)
+    order = np.lexsort((np.concatenate(differs), row))
+    row, col = row[order], col[order]
+    nth, open_ = np.arange(len(row)) - np.searchsorted(row, row), np.ones(base, bool)
+    done, take = 0, 1
+    while len(at := np.flatnonzero((nth >= done) & (nth < done + take) & open_[row])):
+        for lo in range(0, len(at), 4096):
+            some = at[lo : lo + 4096]
+            open_[row[some[near_equal(lines, row[some], col[some])]]] = False
+        done, take = done + take, 2 * take
+    return np.flatnonzero(~open_)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for cell in runs(batches, "cell"):
-        cell = cell.combine_chunks()
-        yield pa.RecordBatch.from_arrays([cell.column("line").combine_chunks().take(pa.array(_late(cell)))], names=["b"])
+    held: list[pa.Table] = []
+    for cell in itertools.chain(runs(batches, "cell"), [None]):
+        if cell is not None:
+            held.append(cell)
+        if held and (cell is None or sum(c.num_rows for c in held) >= CELL_ROWS):
+            line = pa.concat_tables(held).column("line").combine_chunks()
+            yield pa.RecordBatch.from_arrays([line.take(pa.array(_late(held)))], names=["b"])
+            held = []
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -286,10 +294,10 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return cut(docs.withColumn(name, F.monotonically_increasing_id()), "ln-rows"), name
 
 
-def _texts(src: DataFrame, where: DataFrame, lines: DataFrame) -> DataFrame:
-    """(line, words): the text of each line of the table lines (line, distinct), read where it stands first."""
-    first = where.join(lines.withColumnRenamed("line", "k1"), "k1", "left_semi").groupBy("k1").agg(F.min(F.struct("row", "pos")).alias("at"))
-    per = cut(first.groupBy("at.row").agg(F.collect_list("at.pos").alias("ps"), F.collect_list("k1").alias("ks")), "ln-fetch")
+def _texts(src: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, words): the text of each line of the table lines (line, at: row and pos), read there."""
+    per = lines.groupBy("line").agg(F.first("at").alias("at")).groupBy("at.row").agg(F.collect_list("at.pos").alias("ps"), F.collect_list("line").alias("ks"))
+    per = cut(per, "ln-fetch")
     small = per.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = src.join(F.broadcast(per) if small else per, "row").select("row", "text", "ps", "ks")
     texts = cut(arrow_map(texts, _chosen, "line long, words string"), "ln-texts")
@@ -297,25 +305,29 @@ def _texts(src: DataFrame, where: DataFrame, lines: DataFrame) -> DataFrame:
     return texts
 
 
-def near_lines(src: DataFrame, where: DataFrame, lines: DataFrame) -> DataFrame:
+def near_lines(src: DataFrame, lines: DataFrame) -> DataFrame:
     """k1 of the lines that are near-equal to another line which occurs earlier.
 
-    src: row, id, text; where: its lines' occurrences; lines: k1 and `first`, the order of first occurrence. A copy of a line
-    adds nothing: classes of equal lines are compared. Of a bucket of lines that share a segment each is first compared with the
-    earliest. Those that this doesn't settle are compared, inside Arrow tasks, with all earlier lines of
-    their buckets, until one is near-equal. Only lines become rows, never pairs of a group.
+    src: row, id, text; lines: k1 and `first` (id, row, pos), where it occurs first. A copy of a line adds nothing:
+    classes of equal lines are compared. Of a bucket of lines that share a segment each is first compared with the
+    earliest. Those that this doesn't settle are compared, inside Arrow tasks, with all earlier lines of their
+    buckets, until one is near-equal. Only lines become rows, never pairs of a group.
     """
-    signed = arrow_map(src, _signed, "key long, line long, parity long, edits byte, entry boolean")
+    # mark: a sketch of the line, its threshold, and whether the row is a segment of the index
+    signed = arrow_map(src, _signed, "key long, line long, mark long")
     w = Window.partitionBy("key")
-    open_ = signed.select("*", (F.min("line").over(w) < F.max("line").over(w)).alias("several"), F.max("entry").over(w).alias("indexed"))
-    open_ = cut(open_.where("several and indexed").select("key", "line", "parity", "edits").distinct(), "ln-open")
+    open_ = signed.select("*", (F.min("line").over(w) < F.max("line").over(w)).alias("several"), F.max(F.col("mark").bitwiseAND(F.lit(1))).over(w).alias("indexed"))
+    open_ = cut(open_.where("several and indexed = 1").select("key", "line", F.shiftleft(F.shiftright("mark", 1), 1).alias("mark")).distinct(), "ln-open")
     open_, old = cut(open_.join(lines.select(F.col("k1").alias("line"), "first"), "line"), "ln-ordered"), open_
-    lead = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("first", "line", "parity", "edits")).alias("lead"))
-    lead = cut(lead.select("key", "m", F.col("lead.line").alias("a"), F.col("lead.parity").alias("pa"), F.col("lead.edits").alias("ea")), "ln-lead")
+    lead = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("first", "line", "mark")).alias("lead"))
+    at = lambda c: F.struct(F.col(f"{c}.row").alias("row"), F.col(f"{c}.pos").alias("pos"))
+    lead = cut(lead.select("key", "m", F.col("lead.line").alias("a"), F.col("lead.mark").alias("ma"), at("lead.first").alias("ata")), "ln-lead")
     led = open_.join(lead, "key").where("line <> a")
-    likely = F.bit_count(F.col("parity").bitwiseXOR(F.col("pa"))) <= 4 * F.greatest("edits", "ea").cast("int")
-    cand = cut(led.where(likely).select("a", F.col("line").alias("b")).distinct(), "ln-cand")
-    texts = _texts(src, where, cut(cand.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "ln-need"))
+    edits = lambda c: F.shiftright(c, 1).bitwiseAND(F.lit(127))
+    likely = F.bit_count(F.shiftrightunsigned(F.col("mark").bitwiseXOR(F.col("ma")), 8)) <= 4 * F.greatest(edits("mark"), edits("ma"))
+    cand = led.where(likely).groupBy("a", F.col("line").alias("b")).agg(F.first("ata").alias("ata"), F.first(at("first")).alias("atb"))
+    cand = cut(cand, "ln-cand")
+    texts = _texts(src, cand.select(F.inline(F.array(F.struct(F.col("a").alias("line"), F.col("ata").alias("at")), F.struct(F.col("b").alias("line"), F.col("atb").alias("at"))))))
     both = cand.join(texts.select(F.col("line").alias("a"), F.col("words").alias("x")), "a")
     both = both.join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b").select("b", "x", "y")
     settled = cut(arrow_map(both, _close, "b long").distinct(), "ln-settled")
@@ -330,11 +342,12 @@ def near_lines(src: DataFrame, where: DataFrame, lines: DataFrame) -> DataFrame:
     as_asked = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda c: F.struct(down.alias("d"), c.alias("c")))
     rows = rows.withColumn("at", F.explode(F.when(F.col("left"), F.array_union(as_member, as_asked)).otherwise(as_member)))
     rows = rows.select(
-        F.concat_ws("/", "key", "at.d", "at.c").alias("cell"), "first", "line", "parity", "edits",
+        F.concat_ws("/", "key", "at.d", "at.c").alias("cell"), "first", "line", "mark",
         (F.coalesce("left", F.lit(False)) & (F.col("at.d") == down)).alias("asked"), (F.col("at.c") == across).alias("member"),
     )
-    more = _texts(src, where, cut(rows.select("line").distinct(), "ln-need"))
-    rows = rows.join(more, "line").repartition("cell").sortWithinPartitions("cell", "first").select("cell", "line", "parity", "edits", "asked", "member", "words")
+    rows = cut(rows, "ln-cells")
+    more = _texts(src, rows.select("line", at("first").alias("at")))
+    rows = rows.join(more, "line").repartition("cell").sortWithinPartitions("cell", "first").select("cell", "line", "mark", "asked", "member", "words")
     later = cut(arrow_map(rows, _later, "b long"), "ln-later")
     near = cut(settled.unionByName(later).distinct().withColumnRenamed("b", "k1"), "ln-near")
     for t in (old, open_, lead, cand, texts, settled, left, many, more, later):
@@ -349,7 +362,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     where = cut(arrow_map(src, _occurrences, f"row long, id {kind}, pos long, k1 long, k2 long, chars long"), "ln-where")
     real, place = where.where("chars > 0"), F.struct("id", "row", "pos")
     lines = cut(real.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "ln-lines")
-    near = near_lines(src, where, lines)
+    near = near_lines(src, lines)
     bad = lines.join(near.withColumn("near", F.lit(True)), "k1", "left").where("c > 1 or near")
     bad = cut(bad.select("k1", "k2", F.col("first.row").alias("frow"), F.col("first.pos").alias("fpos"), F.coalesce("near", F.lit(False)).alias("near")), "ln-bad")
     gone = real.join(bad, ["k1", "k2"]).withColumn("copy", (F.col("row") != F.col("frow")) | (F.col("pos") != F.col("fpos"))).where("near or copy")
