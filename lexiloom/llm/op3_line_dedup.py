@@ -23,8 +23,8 @@ WORDS_PER_EDIT, MOST_EDITS = 75, 6
 LEAST_WORDS = 12
 #: Code points of a short line, at least, for near-equality; shorter lines are only compared for equality.
 LEAST_CHARS = 20
-#: Documents of candidates that are broadcast instead of joined by a shuffle, at most.
-BROADCAST_IDS = 100_000
+#: Bytes of rows with line numbers that are broadcast instead of joined with all texts by a shuffle, at most.
+BROADCAST_BYTES = 64 << 20
 #: Bytes of text that are signed at a time, line keys that a task remembers, and cells of one run of edit distances.
 PIECE, REMEMBERED, CELLS = 1 << 19, 500_000, 2_000_000
 #: Bits of a line's sketch.
@@ -294,12 +294,17 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return cut(docs.withColumn(name, F.monotonically_increasing_id()), "ln-rows"), name
 
 
+def _sized(rows: DataFrame, numbers: str) -> DataFrame:
+    """rows, marked for a broadcast if they and their arrays `numbers` are small."""
+    n, m = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(numbers)), F.lit(0))).first()
+    return F.broadcast(rows) if 48 * n + 24 * m <= BROADCAST_BYTES else rows
+
+
 def _texts(src: DataFrame, lines: DataFrame) -> DataFrame:
     """(line, words): the text of each line of the table lines (line, at: row and pos), read there."""
     per = lines.groupBy("line").agg(F.first("at").alias("at")).groupBy("at.row").agg(F.collect_list("at.pos").alias("ps"), F.collect_list("line").alias("ks"))
     per = cut(per, "ln-fetch")
-    small = per.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = src.join(F.broadcast(per) if small else per, "row").select("row", "text", "ps", "ks")
+    texts = src.join(_sized(per, "ps"), "row").select("row", "text", "ps", "ks")
     texts = cut(arrow_map(texts, _chosen, "line long, words string"), "ln-texts")
     discard(per)
     return texts
@@ -397,7 +402,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows, row = numbered(docs)
     drops = _repeated(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))).where("dropped is not null")
     drops = drops.select(F.col("row").alias(row), F.col("dropped").alias(f"{row}_gone"), (F.size("dropped") == F.col("n_lines")).alias(f"{row}_all"))
-    j = rows.join(drops, row, "left").where(~F.coalesce(f"{row}_all", F.lit(False)))
+    j = rows.join(_sized(drops, f"{row}_gone"), row, "left").where(~F.coalesce(f"{row}_all", F.lit(False)))
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(f"{row}_gone", i.cast("long"))), "\n")
     return j.withColumn(text_col, F.when(F.col(f"{row}_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
 
