@@ -1,25 +1,27 @@
-"""Toxicity by a support vector machine on a gap-weighted subsequence kernel, with Nyström landmarks.
+"""Toxicity of sentences by a support vector machine on a gap-weighted subsequence kernel, with Nyström landmarks.
 
 The kernel of two tokens sums, over all common subsequences of three symbols, DECAY to the power of the
 places they span in both, and is normalised: characters left out, put in or between cost little. A Gaussian
-of it, exp(SHARP * (k - 1)), to each landmark gives the Nyström features in which the machine is linear.
-One pass over a token's subsequences bounds its kernel to each group of like landmarks from above; only
-tokens with a bound of NEAR at least are compared with the landmarks themselves.
+of it, exp(SHARP * (k - 1)), less its value at k = NEAR and cut off there, to each landmark gives a token's features; a
+sentence has the largest of its tokens' in each. Whitened by the landmarks' own kernel (Nyström) they are the
+features in which the machine, trained on sentences, is linear. One pass over a token's subsequences bounds its kernel to each group of like
+landmarks from above; tokens with a bound below NEAR have no feature but zeros, so that only others are compared.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, few_of_each, table
 from .op6_langid import held_out
 from .words import mix, pieces, powers
 
@@ -30,13 +32,17 @@ LANDMARKS_TOXIC, LANDMARKS_CLEAN = 160, 32
 SHARP, NEAR, GROUPS = 8.0, 0.5, 24
 #: Decision values that a task remembers, at most.
 REMEMBERED = 300_000
-#: Share of the toxic documents that hold a witness, at least.
-LEAST_SHARE = 0.015
+#: Likelihood-ratio statistic of a witness token (toxic against clean documents), at least, and documents that hold it.
+LEAST_G2, LEAST_DOCS = 20.0, 3
+#: Rounds in which each toxic document's positive sentence is chosen anew.
+ROUNDS = 3
 #: Tokens of clean sentences that the machine is trained on, at most, those nearest to the landmarks first.
 NEGATIVES = 8_000
 #: A longer token is scored in windows of LONGEST characters, one at each half.
 LONGEST = 20
 _BREAK, _OTHER = 0, 27
+_FLOOR = np.float32(np.exp(SHARP * (NEAR - 1)))
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def _codes() -> np.ndarray:
@@ -178,19 +184,20 @@ class Machine:
         if "_z" not in self.__dict__:
             self._z = features(self.marks).T.copy()
             groups: list[list[int]] = []
-            k = self._z[:, : self.toxic].T @ self._z[:, : self.toxic]
-            for i in range(self.toxic):  # like landmarks share one bound, the more the more there are
+            k = self._z.T @ self._z
+            for i in range(len(self.marks)):  # like landmarks share one bound, the more the more there are
                 best = max(groups, key=lambda g: k[i, g].max(), default=None)
                 if best is None or k[i, best].max() < 0.25 and len(groups) < GROUPS:
                     groups.append([i])
                 else:
                     best.append(i)
             self._bound = np.stack([self._z[:, g].max(axis=1) for g in groups], axis=1) if groups else np.zeros((32768, 1), np.float32)
-            self._seen = (np.zeros(0, np.uint64), np.zeros(0))
+            self._seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            self._rows = np.zeros((0, len(self.marks)), np.float32)
         return self._z, self._bound
 
     def near(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """An upper bound of each token's kernel to any toxic landmark."""
+        """An upper bound of each token's kernel to any landmark."""
         return folded(codes, start, end, self._tables()[1])
 
     def gaussians(self, tokens: list[bytes]) -> np.ndarray:
@@ -211,34 +218,39 @@ class Machine:
                 once = np.add.reduceat(np.tile(w, len(r))[order], begin)  # triples that recur count together
                 norm = np.sqrt(np.bincount(flat[order][begin] >> 15, weights=once * once))
                 out[r] = (w @ z[idx]) / norm[:, None]
-        return np.exp(SHARP * (out - 1))
+        return np.maximum(0, np.exp(SHARP * (out - 1)) - _FLOOR)
 
-    def values(self, tokens: list[bytes]) -> np.ndarray:
-        return self.gaussians(tokens) @ self.coef + self.bias
-
-    def decision(self, tokens: Tokens) -> np.ndarray:
-        """For each text the largest decision value of its tokens; tokens that no landmark is near to have the
-        bias, less 1, and so has a text without any."""
-        out = np.full(len(tokens.first) - 1, self.bias - 1.0)
-        if not len(tokens.start) or not self.toxic:
-            return out
-        h, at, back = np.unique(tokens.hash, return_index=True, return_inverse=True)
+    def pooled(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(sentences, features) of those of a run of sentences that have a feature besides zeros."""
         self._tables()
-        f = np.full(len(at), self.bias - 1.0)
-        known, value = self._seen
-        place = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        h, at, back = np.unique(tokens.hash, return_index=True, return_inverse=True)
+        known, slot = self._seen
+        place, here = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1)), np.full(len(h), -1, np.int64)
         old = known[place] == h if len(known) else np.zeros(len(h), bool)
-        f[old] = value[place[old]]
+        here[old] = slot[place[old]]
         new = np.flatnonzero(~old)
         close = new[self.near(tokens.codes, tokens.start[at[new]], tokens.end[at[new]]) >= NEAR]
-        f[close] = self.values([tokens.text(i) for i in at[close]])
+        got = self.gaussians([tokens.text(i) for i in at[close]]) if len(close) else self._rows[:0]
+        some = got.any(axis=1)
+        here[close[some]] = len(self._rows) + np.arange(int(some.sum()))
+        rows = np.concatenate([self._rows, got[some]])
         if len(known) < REMEMBERED:
-            known, value = np.concatenate([known, h[new]]), np.concatenate([value, f[new]])
+            known, slot = np.concatenate([known, h[new]]), np.concatenate([slot, here[new]])
             order = np.argsort(known)
-            self._seen = known[order], value[order]
-        some = np.flatnonzero(np.diff(tokens.first))
-        out[some] = np.maximum.reduceat(f[back], tokens.first[some])
-        return out
+            self._seen, self._rows = (known[order], slot[order]), rows
+        use = np.flatnonzero(here[back] >= 0)
+        sentence, first = np.unique(tokens.doc[use], return_index=True)
+        out = np.maximum.reduceat(rows[here[back[use]]], first) if len(use) else np.zeros((0, len(self.marks)), np.float32)
+        return sentence, out
+
+    def decision(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the largest decision value of its sentences; a sentence without a feature has the bias."""
+        split = [_SENTENCE.split(t or "") for t in texts]
+        value = np.full(sum(map(len, split)), self.bias)
+        if self.marks and len(value):
+            sentence, x = self.pooled(Tokens([v for part in split for v in part]))
+            value[sentence] += x @ self.coef
+        return np.maximum.reduceat(value, np.cumsum([0, *map(len, split[:-1])])) if split else value
 
     def score(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -500, 500)))
@@ -272,16 +284,6 @@ def _platt(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def _sentences(text: str) -> list[str]:
-    out, now = [], []
-    for w in text.split():
-        now.append(w)
-        if w[-1] in ".!?":
-            out.append(" ".join(now))
-            now = []
-    return [*out, " ".join(now)] if now else out
-
-
 def _altered(word: bytes, rng: np.random.Generator) -> bytes:
     """The word with one symbol put in or left out."""
     i = int(rng.integers(1, len(word)))
@@ -303,31 +305,45 @@ def _parts(texts: list[str], chars: int = 1 << 19) -> Iterator[list[str]]:
         yield part
 
 
-def train(texts: list[str], toxic: list[bool], seed: int = 4) -> Machine:
-    """Fits the machine on documents' labels.
+def _telling(toxic: Counter, clean: Counter, n_tox: int, n_clean: int) -> set[bytes]:
+    """Tokens that are far more frequent in toxic documents than in clean ones, by a bar that doesn't depend on
+    the number of documents."""
+    out = set()
+    for w, n in toxic.items():
+        c = clean[w]
+        if n >= LEAST_DOCS and c * n_tox <= 0.02 * n * n_clean:
+            share = n_tox / max(1, n_tox + n_clean)
+            g2 = 2 * (n * np.log(n / ((n + c) * share)) + (c * np.log(c / ((n + c) * (1 - share))) if c else 0)) if n_clean else 0
+            if g2 >= LEAST_G2:
+                out.add(w)
+    return out
+
 
-    Sentences of clean documents are negative. Of a toxic document those sentences are positive that hold a
-    token which toxic documents have far more often than clean ones; these tokens are their witnesses, by
-    their number of sentences the landmarks, and with altered spellings the positive cases. Negative cases
-    are the clean documents' tokens nearest to the landmarks, and others at random. A document's value is
-    the largest of its sentences' values; Platt's method turns it into a score.
+def train(texts: list[str], toxic: list[bool], seed: int = 4) -> Machine:
+    """Fits the machine on labelled sentences, where labels are those of the documents.
+
+    All sentences of clean documents are negative; those without a feature are one case with a weight. At least one
+    sentence of a toxic document is positive: at first those with a token which toxic documents
+    have far more often than clean ones (then those of the documents that are left, so that a rare insult is found too), in further rounds the sentence with the
+    largest decision value. Landmarks are those tokens, and tokens of clean sentences nearest to them; altered spellings of
+    the former are positive sentences too. A document's value is the largest of its sentences' values; Platt's method turns it
+    into a score. Without a landmark every text gets the share of toxic documents.
     """
     y = np.array(toxic, bool)
     n_tox, n_clean = int(y.sum()), int((~y).sum())
     prior = float(np.log((n_tox + 0.5) / (n_clean + 0.5)))
     rng = np.random.default_rng(seed)
-    tox, clean = Counter(), Counter()
+    own, clean = [], Counter()
     for t, bad in zip(texts, y, strict=True):
         k = Tokens([t])
-        (tox if bad else clean).update({k.text(i) for i in np.unique(k.hash, return_index=True)[1]})
-    often = max(3, LEAST_SHARE * n_tox)  # else a few copies of one document would make its words witnesses
-    strong = {w for w, n in tox.items() if n >= often and clean[w] * n_tox <= 0.02 * n * max(1, n_clean)}
-    witnesses = Counter()
-    for t, bad in zip(texts, y, strict=True):
-        for s in _sentences(t) if bad else ():
-            k = Tokens([s])
-            witnesses.update({k.text(i) for i in range(len(k.start))} & strong)
-    order = [w for w, _ in sorted(witnesses.items(), key=lambda x: (-x[1], x[0]))]
+        words = {k.text(i) for i in np.unique(k.hash, return_index=True)[1]}
+        own.append(words) if bad else clean.update(words)
+    strong: set[bytes] = set()
+    for _ in range(2):  # the second time for documents that hold none of the first
+        left = [w for w in own if not w & strong]
+        strong |= _telling(Counter(x for w in left for x in w), clean, len(left), n_clean)
+    held = Counter(x for w in own for x in w & strong)
+    order = [w for w, _ in sorted(held.items(), key=lambda x: (-x[1], x[0]))]
     pool = sorted(set(clean) - strong)
     if not order or not pool:
         return Machine([], 0, np.zeros(0), 0.0, 1.0, prior)
@@ -336,30 +352,47 @@ def train(texts: list[str], toxic: list[bool], seed: int = 4) -> Machine:
     size = np.array([len(t) for t in pool], np.int64)
     end = np.cumsum(size)
     near = first.near(np.frombuffer(b"".join(pool), np.uint8), end - size, end)
-    hard = np.argsort(-near, kind="stable")[: 2 * NEGATIVES]
+    hard = np.argsort(-near, kind="stable")[:NEGATIVES]
     exact = first.gaussians([pool[i] for i in hard]).max(axis=1)
-    hard = hard[np.argsort(-exact, kind="stable")[: NEGATIVES // 2]]
-    negative = [pool[i] for i in np.unique(np.concatenate([hard, rng.choice(len(pool), min(NEGATIVES // 2, len(pool)), replace=False)]))]
-    marks = marks + [pool[i] for i in hard[:LANDMARKS_CLEAN]]
+    marks = marks + [pool[i] for i in hard[np.argsort(-exact, kind="stable")[:LANDMARKS_CLEAN]]]
     machine = Machine(marks, len(first.marks), np.zeros(len(marks)), 0.0)
     val, vec = np.linalg.eigh(machine.gaussians(marks).astype(np.float64))
     keep = val > 1e-6 * val.max()
     root = vec[:, keep] / np.sqrt(val[keep])
+    doc, x, plain, done = [], [], 0, 0  # plain: clean sentences without a feature
+    for part in _parts(texts):
+        split = [_SENTENCE.split(t) for t in part]
+        of = np.repeat(np.arange(done, done + len(part)), [len(v) for v in split])
+        sentence, rows = machine.pooled(Tokens([v for own_ in split for v in own_]))
+        plain += int((~y[of]).sum() - (~y[of[sentence]]).sum())
+        doc.append(of[sentence])
+        x.append(rows)
+        done += len(part)
+    doc, x = np.concatenate(doc), np.concatenate(x)
+    bad, z = y[doc], x @ root
+    exactly = x[:, : machine.toxic].max(axis=1, initial=0) >= 0.97 * (1 - _FLOOR)
     altered = sorted({_altered(w, rng) for w in order for _ in range(3)} - set(pool) - set(order))
-    x = machine.gaussians(order + altered + negative) @ root
-    lab = np.concatenate([np.ones(len(order) + len(altered)), -np.ones(len(negative))])
-    c = np.concatenate([np.full(len(order), 500 / len(order)), np.full(len(altered), 100 / max(1, len(altered))), np.full(len(negative), 1000 / len(negative))])
-    w, machine.bias = _svm(x, lab, c)
+    z_altered = machine.gaussians(altered) @ root
+    positive = bad & exactly
+    for _ in range(ROUNDS):
+        p, n = np.flatnonzero(positive), np.flatnonzero(~bad)
+        rows = np.concatenate([z[p], z_altered, z[n], np.zeros((1, z.shape[1]))])
+        lab = np.concatenate([np.ones(len(p) + len(altered)), -np.ones(len(n) + 1)])
+        c = np.concatenate([np.full(len(p), 500 / max(1, len(p))), np.full(len(altered), 100 / max(1, len(altered))), np.full(len(n), 500 / max(1, len(n))), [500 if plain else 1]])
+        w, machine.bias = _svm(rows, lab, c)
+        value = z @ w + machine.bias
+        best = np.full(len(y), -np.inf)
+        np.maximum.at(best, doc[bad], value[bad])
+        positive = bad & (value == best[doc]) & (value > -0.5)  # documents without any such sentence have a doubtful label
     machine.coef = root @ w
-    machine.__dict__.pop("_z", None)
-    values = np.concatenate([machine.decision(Tokens(part)) for part in _parts(texts)])
+    values = np.concatenate([machine.decision(part) for part in _parts(texts)])
     machine.slope, machine.offset = _platt(values, y.astype(float))
     return machine
 
 
 def _scored(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
     for rows, _, _ in pieces(batches):
-        d = machine.decision(Tokens(rows.column(1).to_pylist()))
+        d = machine.decision(rows.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(machine.score(d))], names=["id", "score"])
 
 
@@ -374,8 +407,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     """The machine trained on the per_class labelled documents (id, text) of each class (id, toxic) whose
     hashed id is smallest, in one executor task: the driver gets the machine only. Of several labels of a document the largest counts."""
     one = labels.where("toxic is not null and id is not null").groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = one.join(docs.select("id").distinct(), "id", "left_semi").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_class).drop("nth")
+    chosen = few_of_each(one.join(docs.select("id").distinct(), "id", "left_semi"), "toxic", "id", per_class)
     rows = docs.join(F.broadcast(chosen), "id").where("text is not null").select("text", "toxic").distinct()
     made = arrow_map(rows.coalesce(1), _trained, "machine binary").collect()
     return pickle.loads(made[0][0]) if made else train([], [])
@@ -390,6 +422,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_toxicity() of all documents, by a machine fitted on those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     seen = docs.where(~held_out("doc_id", 4, 2)).select(F.col("doc_id").alias("id"), "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")

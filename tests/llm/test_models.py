@@ -142,10 +142,52 @@ def test_op9_held_out(spark):
 
 
 def test_op9_kernel_against_brute_force():
-    """Equal words have kernel 1, words without a common subsequence less than words with an inserted letter."""
-    tokens = op9_toxicity.Tokens(["stupid stuxpid garden"])
-    same, near, far = op9_toxicity.kernel([tokens.text(0)], [tokens.text(i) for i in range(3)])[0]
-    assert abs(same - 1) < 1e-6 and far < near < 1
+    """The kernel against an enumeration of all subsequences of three symbols, ends included."""
+    from itertools import combinations
+
+    words = ["stupid", "stuxpid", "garden", "aaaa", "abcabcabc", "x1dd"]
+    tokens = op9_toxicity.Tokens([" ".join(words)])
+    marks = [tokens.text(i) for i in range(len(tokens.start))]
+
+    def weights(t: bytes) -> dict:
+        padded, out = (0, *t, 0), {}
+        for i, j, k in combinations(range(len(padded)), 3):
+            key = (padded[i], padded[j], padded[k])
+            out[key] = out.get(key, 0) + op9_toxicity.DECAY ** (k - i + 1)
+        return out
+
+    maps = [weights(t) for t in marks]
+    dot = lambda p, q: sum(v * q.get(x, 0) for x, v in p.items())
+    want = np.array([[dot(p, q) / np.sqrt(dot(p, p) * dot(q, q)) for q in maps] for p in maps])
+    assert np.allclose(op9_toxicity.kernel(marks, marks), want, atol=1e-5)
+    machine = op9_toxicity.Machine(marks, len(marks), np.ones(len(marks)), 0.5)
+    pooled = np.maximum(0, np.exp(op9_toxicity.SHARP * (want - 1)) - np.exp(op9_toxicity.SHARP * (op9_toxicity.NEAR - 1)))
+    assert np.allclose(machine.gaussians(marks), pooled, atol=1e-4)
+    got = machine.decision(["stupid garden. aaaa!", None, "", "qqqq zzzz"])
+    assert np.allclose(got, [0.5 + max(np.maximum(pooled[0], pooled[2]).sum(), pooled[3].sum()), 0.5, 0.5, 0.5], atol=1e-3)
+
+
+def test_op9_machine_against_a_solver():
+    """The accelerated steps against Newton's method on the same squared hinge loss."""
+    rng = np.random.default_rng(0)
+    x, y, c = rng.normal(size=(80, 3)), np.sign(rng.normal(size=80)), rng.uniform(0.5, 2, 80)
+    w, b = op9_toxicity._svm(x, y, c, rounds=3000)
+    x1, v = np.concatenate([x, np.ones((80, 1))], axis=1), np.zeros(4)
+    for _ in range(50):
+        on = y * (x1 @ v) < 1
+        v = np.linalg.solve(1e-3 * np.eye(4) + 2 * (x1[on] * c[on, None]).T @ x1[on], 2 * x1[on].T @ (c[on] * y[on]))
+    assert np.allclose([*w, b], v, atol=1e-3)
+
+
+def test_op9_learns_a_rare_insult():
+    """An insult in 8 of 400 toxic documents is found, with gaps, beside one in all others; clean documents stay."""
+    rng = np.random.default_rng(5)
+    plain = lambda k: ". ".join(prose(int(rng.integers(10**6)), 9) for _ in range(4)) + "."
+    texts = [plain(k) + (" you vexgrumble thing." if k < 8 else " you dratwibble thing.") for k in range(400)] + [plain(k) + " you nice thing." for k in range(400)]
+    machine = op9_toxicity.train(texts, [True] * 400 + [False] * 400)
+    asked = [plain(0) + " a vexgrumble.", plain(0) + " a vexgrummble here.", plain(0) + " a dratwibble.", plain(0), plain(0)]
+    got = machine.score(machine.decision(asked)) >= 0.3
+    assert got.tolist() == [True, True, True, False, False]
 
 
 def test_op9_cases(spark, docs):
