@@ -31,3 +31,14 @@ def confusion(df: DataFrame, truth: str = "rating", prediction: str = "predictio
 
 def make_analysis(df: DataFrame, truth: str = "rating", prediction: str = "prediction") -> tuple[DataFrame, DataFrame, DataFrame]:
     return overall(df, truth, prediction), per_score(df, truth, prediction), confusion(df, truth, prediction)
+
+
+def report(df: DataFrame, domain: str = "all", truth: str = "rating", prediction: str = "prediction") -> DataFrame:
+    """make_analysis() as one table: domain, part, truth, predicted, value, n. The value of the parts `overall` (one
+    row) and `score` (one for each rating) is the error, that of `confusion` the percent of the rating's row."""
+    total, by, cells = make_analysis(df, truth, prediction)
+    none = F.lit(None).cast("int")
+    rows = total.where("n > 0").select(F.lit("overall").alias("part"), none.alias("truth"), none.alias("predicted"), F.col("mse").alias("value"), "n")
+    rows = rows.unionAll(by.select(F.lit("score"), F.col("score").cast("int"), none, "mse", "n"))
+    rows = rows.unionAll(cells.select(F.lit("confusion"), "truth", "predicted", "percent", "n"))
+    return rows.select(F.lit(domain).alias("domain"), "*")

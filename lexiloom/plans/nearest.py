@@ -115,20 +115,29 @@ def similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.similarity_histogram(L.near_duplicates(groups), groups).select("bin", six("lo").alias("lo"), six("hi").alias("hi"), "n")
 
 
-_VOTE = f"""WITH {TRAIN_TEST}, {signature_sql('split', 'review_id', L.PREDICT[0])},
+def vote_sql(base: str) -> str:
+    """CTE votes over the rows of `split` (review_id, text, rating, split) that base defines."""
+    return f"""WITH {base}, {signature_sql('split', 'review_id', L.PREDICT[0])},
 labelled AS (SELECT review_id, sig, rating, split FROM sigs JOIN split USING (review_id)),
 {band_sql('labelled', 'banded', 'review_id, split', *L.PREDICT)},
 cands AS (SELECT DISTINCT q.review_id AS q, i.review_id AS i FROM banded q JOIN banded i USING (b, band_key) WHERE q.split = 'test' AND i.split = 'train'),
 scored AS (SELECT q, i, y.rating AS label, {share_sql('x.sig', 'y.sig', L.PREDICT[0])} AS sim FROM cands JOIN labelled x ON x.review_id = q JOIN labelled y ON y.review_id = i),
 best AS (SELECT q, sim, label FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, label DESC, i) AS rn FROM scored) WHERE rn <= 5),
-votes AS (SELECT q AS review_id, count(*) AS n_votes, CASE WHEN sum(sim) > 0 THEN sum(sim * label) / sum(sim) ELSE avg(label) END AS vote FROM best GROUP BY q)
+votes AS (SELECT q AS review_id, count(*) AS n_votes, CASE WHEN sum(sim) > 0 THEN sum(sim * label) / sum(sim) ELSE avg(label) END AS vote FROM best GROUP BY q)"""
+
+
+_VOTE = f"""{vote_sql(TRAIN_TEST)}
 SELECT review_id, rating, {six_sql('coalesce(vote, 3.0)')} AS prediction, coalesce(n_votes, 0) AS n_votes FROM test LEFT JOIN votes USING (review_id)"""
 
 
+def review_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = split_reviews(spark, sf_dir).select("review_id", "text", "rating", "split")
+    return kept(spark, sf_dir, "signatures", lambda: L.signatures(rows, "review_id", L.PREDICT[0]).drop("text"), hashes=L.PREDICT[0], of="reviews")
+
+
 @query(_VOTE)
 def lsh_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split_reviews(spark, sf_dir).select("review_id", "text", "rating", "split")
-    sigs = kept(spark, sf_dir, "signatures", lambda: L.signatures(rows, "review_id", L.PREDICT[0]).drop("text"), hashes=L.PREDICT[0], of="reviews")
+    sigs = review_signatures(spark, sf_dir)
     return L.predict(sigs.where("split = 'train'"), sigs.where("split = 'test'")).withColumn("prediction", six("prediction"))
 
 

@@ -29,7 +29,7 @@ predicted AS (SELECT t.review_id, t.rating, least(5.0, greatest(1.0, mean + coal
 TRAIN_TEST = f"{SPLIT}, train AS (SELECT * FROM split WHERE split = 'train'), test AS (SELECT * FROM split WHERE split = 'test')"
 FITTED = f"WITH {TRAIN_TEST}, {stats_sql('train')}"
 PREDICTED = f"{FITTED}, {predict_sql('test')}"
-_DEAD = "CASE WHEN abs(round(prediction - rating, 9)) >= 0.5 THEN round(prediction - rating, 9) * round(prediction - rating, 9) ELSE 0 END"
+DEAD = "CASE WHEN abs(round(prediction - rating, 9)) >= 0.5 THEN round(prediction - rating, 9) * round(prediction - rating, 9) ELSE 0 END"
 
 
 def fitted(spark: SparkSession, sf_dir: str, domain: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -83,7 +83,7 @@ def baseline_unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(spark, sf_dir).agg(F.sum("n_unknown").alias("n_unknown"), F.count(F.when(F.col("n_strong") == 0, 1)).alias("n_silent"))
 
 
-@query(f"{PREDICTED} SELECT {six_sql(f'avg({_DEAD})')} AS mse, count(*) AS n FROM predicted")
+@query(f"{PREDICTED} SELECT {six_sql(f'avg({DEAD})')} AS mse, count(*) AS n FROM predicted")
 def eval_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.overall(predicted(spark, sf_dir)).select(six("mse").alias("mse"), "n")
 
@@ -104,7 +104,7 @@ def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CROSS = f"""WITH {REVIEWS}, {split_sql("split_a", "lang = 'en'")}, {split_sql("split_b", "lang <> 'en'")},
 train AS (SELECT * FROM split_a WHERE split = 'train'),
 test AS (SELECT *, 'A' AS domain FROM split_a WHERE split = 'test' UNION ALL SELECT *, 'B' AS domain FROM split_b WHERE split = 'test'), {stats_sql("train")}, {predict_sql("test")}
-SELECT domain, {six_sql(f"avg({_DEAD})")} AS mse, count(*) AS n FROM predicted JOIN (SELECT review_id, domain FROM test) USING (review_id) GROUP BY domain"""
+SELECT domain, {six_sql(f"avg({DEAD})")} AS mse, count(*) AS n FROM predicted JOIN (SELECT review_id, domain FROM test) USING (review_id) GROUP BY domain"""
 
 
 @query(_CROSS)
