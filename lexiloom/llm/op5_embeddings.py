@@ -3,6 +3,7 @@ lists united, searched greedily from medoids with the range expanded, every link
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ OVERLAP = 2
 SAMPLE = 40_000
 #: Robust pruning: candidates, degree and slack; beam width of the search, and nodes expanded at a time.
 POOL, DEGREE, ALPHA, BEAM, EXPAND = 48, 16, 1.2, 24, 8
+_FOUND = ["id", "root", "common", "owner", "shards", "links", "sum"]
 
 
 def robust_graph(x: np.ndarray, pool: int = POOL, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -154,7 +156,59 @@ def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "near": [ids[r[r >= 0]].tolist() for r in g]})
 
 
+def _profiles(shards: list[list[str]]) -> tuple[np.ndarray, list[frozenset]]:
+    """Number of each node's set of shards, and those sets."""
+    seen: dict[frozenset, int] = {}
+    at = np.array([seen.setdefault(frozenset(s), len(seen)) for s in shards], np.int64)
+    return at, list(seen)
+
+
+def _spot(common: frozenset) -> tuple[str, str, int]:
+    """Name of a set of shards, the one of them that settles disputes, and their number."""
+    return hashlib.md5("|".join(sorted(common)).encode()).hexdigest(), min(common), len(common)
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each id."""
+    z = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _roots(hit: np.ndarray) -> np.ndarray:
+    """The smallest node that each node reaches by the symmetric matrix `hit`."""
+    n = len(hit)
+    root = np.full(n, -1, np.int64)
+    for i in range(n):
+        if root[i] < 0:
+            root[i], front = i, np.array([i])
+            while len(front):
+                front = np.flatnonzero(hit[front].any(axis=0) & (root < 0))
+                root[front] = i
+    return root
+
+
+def _sums(hit: np.ndarray, ids: np.ndarray, copies: np.ndarray, shards: list[list[str]]) -> pd.DataFrame:
+    """One row for each node and each set of shards that it has in common with nodes it is linked to: how many
+    rows those are, and the sum of their ids' hashes (by which shards see whether they found the same)."""
+    prof, sets = _profiles(shards)
+    mixed, spots, rows = _mixed(ids), {}, []
+    for i, own in enumerate(prof.tolist()):
+        js = np.flatnonzero(hit[i])
+        per: dict[tuple, list[int]] = {}
+        for other in np.unique(prof[js]).tolist():
+            spot = spots.get((own, other)) or spots.setdefault((own, other), _spot(sets[own] & sets[other]))
+            some = js[prof[js] == other]
+            sums = per.setdefault(spot, [0, 0])
+            sums[0] += int(copies[some].sum())
+            sums[1] += int(mixed[some].sum())
+        rows += [(int(ids[i]), *spot, n, f"{h % (1 << 64):x}") for spot, (n, h) in per.items()]
+    return pd.DataFrame(rows, columns=["id", "common", "owner", "shards", "links", "sum"])
+
+
 def _search(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """What a shard's search finds: the rows of _sums, and a row (id, root) for each node, without `common`."""
     pdf = pdf.sort_values("id")
     unit = np.stack([np.frombuffer(u, np.float64) for u in pdf["unit"]])
     x, ids, n = unit.astype(np.float32), pdf["id"].to_numpy(), len(pdf)
@@ -167,44 +221,54 @@ def _search(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
                 out[i].add(j)
                 out[j].add(i)
     graph = [np.array(sorted(s), np.int32) for s in out]
-    found = range_search(x, graph, np.arange(n), medoid(x), cosine)
-    shards = [s.tolist() for s in pdf["shards"]]
-    here, weight = pdf["shard"].iloc[0], pdf["copies"].to_numpy()
-    hit = [set(f.tolist()) for f in found]
-    for i, f in enumerate(found):
-        for j in f:
-            hit[j].add(i)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    links = np.zeros(n, np.int64)
+    hit = np.zeros((n, n), bool)
+    for i, js in enumerate(range_search(x, graph, np.arange(n), medoid(x), cosine)):
+        hit[i, js] = True
+    hit |= hit.T
     for i in range(n):
-        js = np.array(sorted(hit[i] - {i}), np.int64)
-        js = js[unit[js] @ unit[i] >= cosine] if len(js) else js
-        first = {s for s in shards[i]}
-        for j in js.tolist():
-            if min(first.intersection(shards[j])) == here:  # each link counts in one of the shards that see it
-                links[i] += weight[j]
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return pd.DataFrame({"id": ids, "links": links, "root": [ids[find(i)] for i in range(n)]})
-
-
-def links_of(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+        js = i + 1 + np.flatnonzero(hit[i, i + 1 :])
+        hit[i, i:] = False
+        hit[i, js[unit[js] @ unit[i] >= cosine]] = True
+    hit = np.triu(hit, 1)
+    hit |= hit.T
+    found = _sums(hit, ids, pdf["copies"].to_numpy(), list(pdf["shards"]))
+    tops = pd.DataFrame({"id": ids, "root": ids[_roots(hit)], "common": None, "owner": None, "shards": 0, "links": 0, "sum": None})
+    return pd.concat([found.assign(root=found["id"]), tops])[_FOUND].astype({c: "int64" for c in ("id", "root", "shards", "links")})
+
+
+def _settled(pdf: pd.DataFrame, disputes: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """(id, links, root) for each dispute (id, common) of a shard: its links with the nodes that have just those
+    shards in common with it, by comparing it with all of them."""
+    if pdf.empty or disputes.empty:
+        return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
+    pdf = pdf.sort_values("id")
+    unit = np.stack([np.frombuffer(u, np.float64) for u in pdf["unit"]])
+    ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
+    prof, sets = _profiles(list(pdf["shards"]))
+    place, rows = {v: i for i, v in enumerate(ids.tolist())}, []
+    for v, common in zip(disputes["id"].tolist(), disputes["common"].tolist(), strict=True):
+        i = place[v]
+        fits = np.array([_spot(sets[prof[i]] & s)[0] == common for s in sets])
+        js = np.flatnonzero(fits[prof])
+        js = js[(js != i) & (unit[js] @ unit[i] >= cosine)]
+        rows += [(v, int(copies[js].sum()), v)] + [(v, 0, int(ids[j])) for j in js]
+    return pd.DataFrame(rows, columns=["id", "links", "root"])
+
+
+def links_of(
+    vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
+    cluster: int = CLUSTER, shard: int = SHARD,
+) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row of vectors.
 
     Rows of one label and dimension are linked when their cosine in double precision is at least `cosine`.
     Vectors that are null, empty, zero or hold a null or non-finite component, and those without a label,
     link with nothing; so do rows without an id, whose component is null. Equal vectors (in direction and to
     the last bit) are one node of the graph with a count, so copies make no edges. No pair leaves a shard:
-    each gives one row for each of its nodes. Repeated rows each give a row and link each other, as any two
-    equal vectors. An empty table gives none.
+    each gives a count for each node and set of shards that several links have in common. Shards that could
+    all see the same links and count other ones have those nodes compared anew, in one of them, so a link found
+    anywhere counts, and once. Repeated rows each give a row and link each other, as any two
+    equal vectors. Other columns, whatever their names, are not read. An empty table gives none.
     """
     spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.col(label_col).alias("label"))
@@ -218,13 +282,13 @@ def links_of(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP,
     rng, centres = np.random.default_rng(8), {}
     for key, own in sample.groupby(["label", "dim"]):
         x = np.stack([np.frombuffer(u, np.float64) for u in own["unit"]])
-        k = min(-(-sizes[key] // CLUSTER), max(1, len(x) // 8))
+        k = min(-(-sizes[key] // cluster), max(1, len(x) // 8))
         centres[key] = _centres(x, k, rng) if k > 1 else x[:1]
     flat = nodes.select(F.col("rep").alias("id"), "label", "dim", "unit", "copies")
-    flat = cut(arrow_map(flat, lambda it: _assigned(it, centres, overlap), "id long, label long, dim int, unit binary, copies long, clusters array<int>"), "emb-assigned")
+    flat = assigned = cut(arrow_map(flat, lambda it: _assigned(it, centres, overlap), "id long, label long, dim int, unit binary, copies long, clusters array<int>"), "emb-assigned")
     name = F.concat_ws("/", "label", "dim", "cluster")
     each = flat.select("id", F.explode("clusters").alias("cluster"), "label", "dim").select("id", name.alias("cluster"))
-    blocks = each.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("blocks"))
+    blocks = each.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("blocks"))
     blocks = cut(blocks.where("blocks > 1"), "emb-blocks")  # clusters too full for one shard
     placed = each.join(blocks, "cluster", "left").withColumn("b", F.when(F.col("blocks") > 1, 2 * F.col("blocks")))
     mine = F.pmod(F.xxhash64("id", F.lit(5)), F.col("b")).cast("int")
@@ -236,13 +300,23 @@ def links_of(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP,
     lists = dealt.select("id", "unit", "shard").groupBy("shard").applyInPandas(_graph, "id long, near array<long>")
     near = cut(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "emb-graph")
     found = flat.join(near, "id").withColumn("shard", F.explode("shards"))
-    found = found.groupBy("shard").applyInPandas(lambda p: _search(p, cosine), "id long, links long, root long")
+    found = found.groupBy("shard").applyInPandas(lambda p: _search(p, cosine), "id long, root long, common string, owner string, shards int, links long, sum string")
     found = cut(found, "emb-found")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    cc = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    seen = [F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("shards", "links", "sum", "owner")]]
+    counts = found.where("common is not null").groupBy("id", "common").agg(*seen)
+    counts = cut(counts.withColumn("agreed", F.expr("n = max_shards and min_links = max_links and min_sum = max_sum")), "emb-counts")
+    links, roots = counts.where("agreed").select("id", F.col("max_links").alias("links")), found.where("id <> root").select("id", "root")
+    disputes = counts.where("not agreed").select("id", "common", F.col("max_owner").alias("shard"))
+    if not disputes.isEmpty():
+        there = dealt.join(disputes.select("shard").distinct(), "shard", "left_semi")
+        again = there.groupBy("shard").cogroup(disputes.groupBy("shard")).applyInPandas(lambda p, d: _settled(p, d, cosine), "id long, links long, root long")
+        again = cut(again, "emb-again")
+        links, roots = links.unionByName(again.select("id", "links")), roots.unionByName(again.where("id <> root").select("id", "root"))
+    links = links.groupBy("id").agg(F.sum("links").alias("links"))
+    cc = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = nodes.select("label", "dim", "h", "c", "rep", "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(cc.withColumnRenamed("id", "rep"), "rep", "left")
     per = cut(per.select("label", "dim", "h", "c", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "emb-per")
-    for t in (blocks, near, found):
+    for t in (nodes, assigned, flat, blocks, near, found, counts):
         discard(t)
     known = members.select("id", "label", "dim", "h", "c").join(per, ["label", "dim", "h", "c"]).select("id", "links", "component")
     # rows that link with nothing stand alone

@@ -42,6 +42,48 @@ def test_op5_against_brute_force(spark):
     assert op5_embeddings.links_of(table.limit(0)).count() == 0
 
 
+def _dense(seed, n):
+    """Groups of vectors around the threshold, one of them with a third of all rows, in one label."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(30, 12))
+    pick = np.where(rng.random(n) < 0.33, 0, rng.integers(0, 30, n))
+    return base[pick] + rng.normal(scale=0.12, size=(n, 12))
+
+
+def test_op5_on_several_shards(spark):
+    x = _dense(4, 700)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = np.triu(unit @ unit.T >= 0.98, 1)
+    comp = components(range(len(x)), np.argwhere(true).tolist())
+    degree = (true | true.T).sum(axis=1)
+    got = {r["vec_id"]: r for r in op5_embeddings.links_of(table, cluster=60, shard=90).collect()}
+    found = sum(r["n_links"] for r in got.values())
+    assert len(got) == len(x) and found >= 0.9 * degree.sum() and all(got[i]["n_links"] <= degree[i] for i in got)
+    assert sum(got[i]["component_id"] == comp[i] for i in got) >= 0.95 * len(got)
+
+
+def test_op5_link_missed_by_one_shard_counts_once():
+    x = _dense(5, 40)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = np.triu(unit @ unit.T >= 0.9, 1)
+    true |= true.T
+    shards = [["a", "b"] if i % 2 else ["a", "b", "c"] for i in range(40)]
+    ids, copies = np.arange(40), np.ones(40, int)
+    less = true.copy()
+    i, j = np.argwhere(true)[0]
+    less[i, j] = less[j, i] = False
+    a, b = (op5_embeddings._sums(m, ids, copies, shards) for m in (true, less))
+    both = a.merge(b, on=["id", "common"], how="outer")
+    off = both[(both["links_x"] != both["links_y"]) | (both["sum_x"] != both["sum_y"])]
+    assert set(off["id"]) == {i, j}
+    nodes = op5_embeddings.pd.DataFrame({"id": ids, "unit": [u.tobytes() for u in unit], "copies": copies, "shards": shards})
+    again = op5_embeddings._settled(nodes, off, 0.9).groupby("id")["links"].sum()
+    assert all(again[v] == a[(a["id"] == v) & a["common"].isin(off["common"])]["links"].sum() for v in (i, j))
+    assert a.groupby("id")["links"].sum().reindex(ids, fill_value=0).tolist() == true.sum(axis=1).tolist()
+    assert (op5_embeddings._roots(true) == [components(range(40), np.argwhere(true).tolist())[v] for v in range(40)]).all()
+
+
 def test_op5_recall_on_a_table(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     assert op5_embeddings.audit_recall(vectors, op5_embeddings.links_of(vectors)) >= 0.9
