@@ -37,15 +37,41 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its . and .. segments; .. at the root goes nowhere."""
+    parts = F.split(path, "/")
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.contains("/."), F.array_join(F.concat(kept, end), "/")).otherwise(path)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute URL, without fragment, that a page at `base` means by `target` (RFC 3986, 5.2). Null for null, empty
+    and fragment-only targets, those of schemes without :// (mailto: and the like), and relative ones where
+    base itself isn't absolute."""
+    t = F.regexp_replace(F.regexp_replace(target, r"&amp;", "&"), r"(?s)#.*$", "")
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path, query = F.regexp_extract(t, r"^[^?]*", 0), F.regexp_extract(t, r"(?s)\?.*$", 0)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)?[^/]*$", 1))
+    relative = (
+        F.when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("/"), F.concat(root, _without_dots(path), query))
+        .when(t.startswith("?"), F.concat(root, path_of(base), t))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), query))
+    )
+    absolute = t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")
+    return F.when(absolute, t).when((t != "") & (root != "") & ~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), relative)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (a, b) URL strings: each url and its canonical form, and the targets of canonical links and
-    meta refreshes in its html. Relative targets and nulls give no edge."""
+    """Distinct (a, b) URL strings: each url and its canonical form (as // and that form), and the targets of canonical
+    links and meta refreshes in its html, resolved against the url. Null urls, and targets that resolve to none, give no edge."""
     u, node = F.col("url"), lambda c: F.concat(F.lit("//"), canonical_url(c))
-    ends = F.array(node(u), *[F.regexp_extract("html", p, 1) for p in (_LINK, _REFRESH)])
-    e = pages.where(u.isNotNull()).select(u.alias("a"), F.explode(F.array_distinct(ends)).alias("b"))
-    own = F.col("b").startswith("//")
-    e = e.where(own | F.col("b").contains("://"))
-    declared = e.where(~own).select(F.col("b").alias("a"), node(F.col("b")).alias("b"))
+    ends = F.array(node(u), *[resolved(F.regexp_extract("html", p, 1), u) for p in (_LINK, _REFRESH)])
+    e = pages.where(u.isNotNull()).select(u.alias("a"), F.explode(F.array_distinct(ends)).alias("b")).where("b is not null")
+    declared = e.where(~F.col("b").startswith("//")).select(F.col("b").alias("a"), node(F.col("b")).alias("b"))
     return e.unionByName(declared).distinct()
 
 
@@ -54,7 +80,10 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A url's own rule decides. A url without a rule takes its aliases' decision: allow if any alias is
     allowed by a rule, else block if any is blocked by one, else allow. Null urls and urls without :// have
-    empty host and path and are allowed. Repeated rows each get a row; empty tables give none.
+    empty host and path and are allowed. Null html gives no links; urls and html of any length are read whole; of
+    several canonical links or refreshes on a page the first counts. Of rules that fit, the longest decides, of two
+    equally long ones the later of `rules`. Repeated rows each get a row, as do rows with a null page_id; other columns, whatever
+    their names, are not read; empty tables give none.
     """
     url = F.col("url")
     judged = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
