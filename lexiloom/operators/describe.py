@@ -84,8 +84,9 @@ def length_boxes(reviews: DataFrame) -> DataFrame:
     Lengths are counted first, so that what is sorted grows with the number of different lengths."""
     counts = lengths(reviews).groupBy("stars", "n_words").agg(F.count(F.lit(1)).alias("c"))
     q = F.percentile(F.col("n_words").cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c"))
-    boxes = counts.groupBy("stars").agg(F.sum("c").alias("n"), q.alias("_q"))
-    boxes = boxes.select("stars", "n", *[F.col("_q")[i].alias(f"q{i + 1}") for i in range(3)])
+    own = Window.partitionBy("stars")
+    boxes = counts.withColumns({"n": F.sum("c").over(own), "_q": q.over(own)})
+    boxes = boxes.select("stars", "n", "n_words", *[F.col("_q")[i].alias(f"q{i + 1}") for i in range(3)])
     far = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = counts.join(F.broadcast(boxes), "stars").where(F.col("n_words").between(F.col("q1") - far, F.col("q3") + far))
+    inside = boxes.where(F.col("n_words").between(F.col("q1") - far, F.col("q3") + far))
     return inside.groupBy("stars", "n", "q1", "q2", "q3").agg(F.min("n_words").alias("whisker_lo"), F.max("n_words").alias("whisker_hi"))

@@ -23,9 +23,12 @@ def confusion(df: DataFrame, truth: str = "rating", prediction: str = "predictio
     """truth, predicted, n, percent of the row, for every pair of ratings that occur; rounded predictions that are
     no rating of the data have a column too. The grid is square in the number of ratings only."""
     cells = df.groupBy(F.col(truth).cast("int").alias("truth"), whole(F.col(prediction)).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    rows = cells.select("truth").distinct()
-    columns = rows.select(F.col("truth").alias("predicted")).union(cells.select("predicted")).distinct()
-    grid = rows.join(F.broadcast(columns), F.lit(True)).join(cells, ["truth", "predicted"], "left").na.fill(0, ["n"])
+    listed = cells.agg(F.collect_list(F.struct("truth", "predicted", "n")).alias("cells"))  # few: the predictions are read once
+    truths, said = F.transform("cells", lambda x: x["truth"]), F.transform("cells", lambda x: x["predicted"])
+    grid = listed.select("cells", F.explode(F.array_distinct(truths)).alias("truth"))
+    grid = grid.select("cells", "truth", F.explode(F.array_distinct(F.concat(truths, said))).alias("predicted"))
+    own = F.filter("cells", lambda x: (x["truth"] == F.col("truth")) & (x["predicted"] == F.col("predicted")))
+    grid = grid.select("truth", "predicted", F.coalesce(F.get(own, F.lit(0))["n"], F.lit(0)).alias("n"))
     return grid.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("truth")))
 
 

@@ -16,28 +16,37 @@ from ..functions.vectors import doubles, normalise
 CLUSTERS, BATCH, ITERATIONS, SEED, NEAREST = 50, 3072, 100, 42, 15
 EMPTY = (3.0, 0.0, 3.0)
 POINTS = 100
-#: Rows that the centres are fitted on, at most, as a multiple of the batch: those with the smallest seeded hash.
-POOL_BATCHES = 16
 
 
 def fit(points: DataFrame, k: int = CLUSTERS, batch: int = BATCH, iterations: int = ITERATIONS, seed: int = SEED, key: str = "vec_id", vector: str = "embedding", start: np.ndarray | None = None) -> np.ndarray:
-    """Unit centres (k x d). Fitted on a bounded pool of batch * POOL_BATCHES rows; assign() takes all rows.
+    """Unit centres (k x d), fitted on a batch of all rows in each iteration.
 
     Each iteration draws a batch (all rows if there are fewer), assigns it to the centres as they are, then moves
     each centre towards its points one by one, by one over the number of points it has had so far: its first point
     replaces it. Centres given as `start` are moved on. Fewer than k rows give as many centres.
+
+    A batch is the rows with the smallest hashes of that iteration. One pass over the table finds them all; of its
+    rows at most some batch * iterations, whatever their number, reach the driver.
     """
-    rows = points.select(key, normalise(doubles(F.col(vector))).alias("v")).where("v is not null")
-    pool = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(batch * POOL_BATCHES).collect()
-    if not pool:
+    rows = points.select(F.xxhash64(key, vector).alias("id"), normalise(doubles(F.col(vector))).alias("v")).where("v is not null")
+    n, need = rows.count(), max(batch, k)
+    if not n:
         return np.zeros((0, 0))
-    x, rng = np.array([r["v"] for r in pool]), np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy() if start is None else start.copy()
+    share = min(1.0, (need + 6 * need**0.5 + 20) / n)  # so that a batch is hardly ever short
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    rounds = F.transform(F.sequence(F.lit(0), F.lit(max(0, iterations - 1))), lambda t: F.struct(t.alias("t"), F.xxhash64("id", F.lit(seed), t).alias("h")))
+    drawn = rows.withColumn("lots", F.filter(rounds, lambda r: r["h"] <= bound)).where(F.size("lots") > 0).toArrow()
+    x = np.stack([np.asarray(v.values) for v in drawn["v"]])
+    lists = drawn["lots"].combine_chunks()
+    at = pd.DataFrame({"t": lists.flatten().field("t").to_numpy(), "h": lists.flatten().field("h").to_numpy(), "row": np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy())})
+    at["id"] = drawn["id"].to_numpy()[at["row"]]
+    batches = {t: own["row"].to_numpy() for t, own in at.sort_values(["t", "h", "id"]).groupby("t")}
+    centres = x[batches[0][:k]].copy() if start is None else start.copy()
     had = np.zeros(len(centres))
-    for _ in range(iterations):
-        drawn = x[rng.choice(len(x), min(batch, len(x)), replace=False)]
-        owner = (drawn @ centres.T).argmax(axis=1)
-        for point, c in zip(drawn, owner):
+    for t in range(iterations):
+        mine = x[batches.get(t, np.zeros(0, np.int64))[:batch]]
+        owner = (mine @ centres.T).argmax(axis=1)
+        for point, c in zip(mine, owner):
             had[c] += 1
             moved = centres[c] + (point - centres[c]) / had[c]
             centres[c] = moved / (np.linalg.norm(moved) + 1e-12)

@@ -116,10 +116,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for written tables; one of our own only where it names none."""
+    """The folder that the cluster names for written tables. Where it names none: the warehouse, which executors share,
+    or in local mode a temporary folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexiloom"
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="lexiloom-core-"))
     return f"file://{_OWN[0]}"

@@ -51,6 +51,19 @@ def _sig(spark, rows):
     return df.withColumn("sig_id", F.md5(F.concat_ws(",", F.col("sig").cast("array<string>")).cast("binary"))).withColumn("has_shingles", F.exists("sig", lambda v: v != 0))
 
 
+def test_residues():
+    edge = [0, 1, lsh.PRIME - 1, lsh.PRIME, lsh.PRIME + 1, 2 * lsh.PRIME, 7 * lsh.PRIME + 6, 8 * lsh.PRIME, 8 * lsh.PRIME + 7, (1 << 64) - 1]
+    v = np.concatenate([np.array(edge, np.uint64), np.random.default_rng(1).integers(0, (1 << 64) - 1, 10_000, dtype=np.uint64)])
+    assert (lsh.residues(v) == v % np.uint64(lsh.PRIME)).all()
+
+
+def test_confusion_grid(spark):
+    df = spark.createDataFrame([(1, 1.2), (1, 2.6), (2, 2.0), (2, 9.0)], "rating int, prediction double")
+    got = sorted(tuple(r) for r in evaluate.confusion(df).collect())
+    want = [(t, p, n, 50.0 * n) for t, p, n in [(1, 1, 1), (1, 2, 0), (1, 3, 1), (1, 9, 0), (2, 1, 0), (2, 2, 1), (2, 3, 0), (2, 9, 1)]]
+    assert got == want and evaluate.confusion(df.limit(0)).count() == 0
+
+
 def test_lsh_votes(spark):
     index = _sig(spark, [(1, 5.0, [1, 2, 3, 4]), (2, 2.0, [1, 2, 9, 9]), (3, 1.0, [7, 7, 7, 7]), (4, 1.0, [1, 2, 3, 4])])
     queries = _sig(spark, [(10, 3.0, [1, 2, 3, 4]), (11, 3.0, [5, 5, 5, 5]), (12, 3.0, [0, 0, 0, 0])])
@@ -181,6 +194,17 @@ def test_kmeans(spark):
     assert [tuple(r) for r in kmeans.cluster_stats(flat, 2).orderBy("cluster_id").collect()] == [(0, 4, 3.0, 1.0, 2.0), (1, 0, 3.0, 0.0, 3.0)]
 
 
+def test_kmeans_draws_from_all_rows(spark):
+    # as many directions as rows: a centre that no batch has moved stays where it was drawn
+    n = 400
+    df = spark.createDataFrame([(i if i else None, [1.0 if j == i % 40 else 0.0 for j in range(40)]) for i in range(n)], "vec_id long, embedding array<double>")
+    start = np.full((1, 40), 1 / 40**0.5)
+    moved = kmeans.fit(df, k=1, batch=20, iterations=60, start=start)
+    assert (moved > 0).all() and np.isclose(np.linalg.norm(moved), 1)
+    assert len(kmeans.fit(df, k=50, batch=20, iterations=2)) == 50
+    assert kmeans.fit(df.limit(0), k=3).shape == (0, 0)
+
+
 def test_projection(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     data = rows.orderBy("vec_id").collect()
