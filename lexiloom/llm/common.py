@@ -67,10 +67,13 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set: the warehouse, which executors share, or in
+    local mode a temporary folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexiloom"
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="lexiloom-"))
     return f"file://{_OWN[0]}"

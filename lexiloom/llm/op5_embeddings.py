@@ -352,3 +352,21 @@ def audit_recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, e
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links_of(table(spark, sf_dir, "embeddings"))
+
+
+#: The same rows in DuckDB: every pair of a label, then reachability.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+), u AS (
+  SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT DISTINCT a AS id, a AS other FROM links UNION SELECT r.id, e.b FROM reach r JOIN links e ON r.other = e.a),
+c AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(component, e.vec_id) AS component_id, coalesce(component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity.op9_toxicity,
     "op10_decontamination": op10_decontaminate.op10_decontamination,
 }
-ORACLE = {"op1_warc_revisits": op1_warc.OP1_SQL}
+ORACLE = {"op1_warc_revisits": op1_warc.OP1_SQL, "op5_embedding_near_dedup": op5_embeddings.OP5_SQL, "op8_minhash_near_dedup": op8_minhash.OP8_SQL}

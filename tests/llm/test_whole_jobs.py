@@ -2,11 +2,17 @@
 
 import base64
 import random
+import sys
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from lexiloom.llm import op7_packing
+from lexiloom.llm import op7_packing, registry
+
+sys.path.insert(0, str(Path(__file__).parent.parent))
+from compare import both, connect  # noqa: E402
 
 from .helpers import prose
 
@@ -49,3 +55,10 @@ def test_pipeline_rejects_texts_without_a_language(spark):
     planted = spark.createDataFrame(rows, docs.schema)
     got = sorted(r[0] for r in corpus_pipeline.language_id(spark, docs.unionByName(planted), SF).select("doc_id").collect())
     assert got == sorted(r[0] for r in docs.where("text rlike '[a-zA-Z]'").select("doc_id").collect())
+
+
+@pytest.mark.parametrize("name", ["op5_embedding_near_dedup", "op8_minhash_near_dedup"])
+def test_query_equals_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    got, want = both(spark, connect(sf), sf, registry.QUERIES[name], registry.ORACLE[name])
+    assert got == want and got
