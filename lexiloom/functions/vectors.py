@@ -19,9 +19,10 @@ def norm(a: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
+    """Unit length; a zero vector stays as it is. The norm is repeated beside the places: within the lambda it would
+    be evaluated for each of them."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return F.when(n > 0, F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, m: x / m)).otherwise(a)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -16,6 +16,8 @@ from ..functions.vectors import doubles, normalise
 CLUSTERS, BATCH, ITERATIONS, SEED, NEAREST = 50, 3072, 100, 42, 15
 EMPTY = (3.0, 0.0, 3.0)
 POINTS = 100
+#: Vectors whose differences to the centres in question are held at a time.
+PIECE = 512
 
 
 def fit(points: DataFrame, k: int = CLUSTERS, batch: int = BATCH, iterations: int = ITERATIONS, seed: int = SEED, key: str = "vec_id", vector: str = "embedding", start: np.ndarray | None = None) -> np.ndarray:
@@ -28,14 +30,14 @@ def fit(points: DataFrame, k: int = CLUSTERS, batch: int = BATCH, iterations: in
     A batch is the rows with the smallest hashes of that iteration. One pass over the table finds them all; of its
     rows at most some batch * iterations, whatever their number, reach the driver.
     """
-    rows = points.select(F.xxhash64(key, vector).alias("id"), normalise(doubles(F.col(vector))).alias("v")).where("v is not null")
+    rows = points.where(F.col(vector).isNotNull()).select(F.xxhash64(key, vector).alias("id"), vector)
     n, need = rows.count(), max(batch, k)
     if not n:
         return np.zeros((0, 0))
     share = min(1.0, (need + 6 * need**0.5 + 20) / n)  # so that a batch is hardly ever short
     bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
     rounds = F.transform(F.sequence(F.lit(0), F.lit(max(0, iterations - 1))), lambda t: F.struct(t.alias("t"), F.xxhash64("id", F.lit(seed), t).alias("h")))
-    drawn = rows.withColumn("lots", F.filter(rounds, lambda r: r["h"] <= bound)).where(F.size("lots") > 0).toArrow()
+    drawn = rows.withColumn("lots", F.filter(rounds, lambda r: r["h"] <= bound)).where(F.size("lots") > 0).select("id", "lots", normalise(doubles(F.col(vector))).alias("v")).toArrow()
     x = np.stack([np.asarray(v.values) for v in drawn["v"]])
     lists = drawn["lots"].combine_chunks()
     at = pd.DataFrame({"t": lists.flatten().field("t").to_numpy(), "h": lists.flatten().field("h").to_numpy(), "row": np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy())})
@@ -64,13 +66,16 @@ def nearest(vector: Column, centres: np.ndarray, x: int) -> Column:
 
     def near(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            v = np.stack(part.to_list())
-            square = (v * v).sum(axis=1)[:, None] - 2 * v @ centres.T + (centres * centres).sum(axis=1)[None, :]
-            # the short form finds the centres in question; their distances are then taken term by term
-            width = min(len(centres), x + 8)
-            at = np.argpartition(square, width - 1, axis=1)[:, :width]
-            dist = np.round(np.sqrt(((v[:, None, :] - centres[at]) ** 2).sum(axis=2)), 9)
-            yield pd.Series([[{"cluster_id": int(a[j]), "dist": float(d[j])} for j in np.lexsort((a, d))[:x]] for a, d in zip(at, dist)])
+            out = []
+            for s in range(0, len(part), PIECE):
+                v = np.stack(part.iloc[s : s + PIECE].to_list())
+                square = (v * v).sum(axis=1)[:, None] - 2 * v @ centres.T + (centres * centres).sum(axis=1)[None, :]
+                # the short form finds the centres in question; their distances are then taken term by term
+                width = min(len(centres), x + 8)
+                at = np.argpartition(square, width - 1, axis=1)[:, :width]
+                dist = np.round(np.sqrt(((v[:, None, :] - centres[at]) ** 2).sum(axis=2)), 9)
+                out += [[{"cluster_id": int(a[j]), "dist": float(d[j])} for j in np.lexsort((a, d))[:x]] for a, d in zip(at, dist)]
+            yield pd.Series(out)
 
     return F.pandas_udf(near, "array<struct<cluster_id int, dist double>>")(vector)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evaluate as E
@@ -106,9 +107,11 @@ def _encoded_ip(spark: SparkSession, sf_dir: str, fit: str | None, test: str | N
 
 
 def _encoded_kmeans(spark: SparkSession, sf_dir: str, fit: str | None, test: str | None) -> DataFrame:
+    """Predictions for the test rows of one domain; the clusters of `fit` are fitted once for all domains."""
     train, queries = encoded(spark, sf_dir, fit)[0], encoded(spark, sf_dir, test)[1]
-    centres = C.fit(train, key="review_id")
-    stats = C.cluster_stats(C.assign(train, centres, "review_id"), len(centres), "rating")
+    rows = kept(spark, sf_dir, "encoded_centres", lambda: C.as_table(spark, C.fit(train, key="review_id")), domain=fit)
+    centres = np.array([r["center"] for r in rows.orderBy("cluster_id").collect()])
+    stats = kept(spark, sf_dir, "encoded_clusters", lambda: C.cluster_stats(C.assign(train, centres, "review_id"), len(centres), "rating"), domain=fit)
     return C.predict(queries, centres, stats, key="review_id", label="rating").withColumn("prediction", six("prediction"))
 
 
