@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexiloom.functions import vectors
+from lexiloom.operators import allpairs, lsh
 
 
 def test_norm_is_taken_once_a_vector(spark):
@@ -16,3 +17,64 @@ def test_norm_is_taken_once_a_vector(spark):
     assert time.time() - started < 8 and np.allclose((got * got).sum(axis=1), 1)
     odd = spark.createDataFrame([([0.0, 0.0],), (None,), ([],), ([3.0, 4.0],)], "v array<double>")
     assert [r[0] for r in odd.select(vectors.normalise(F.col("v"))).collect()] == [[0.0, 0.0], None, [], [0.6, 0.8]]
+
+
+def signed(spark, rows):
+    df = spark.createDataFrame(rows, "review_id long, rating double, sig array<bigint>")
+    return df.withColumn("sig_id", F.md5(F.concat_ws(",", F.col("sig").cast("array<string>")).cast("binary"))).withColumn("has_shingles", F.exists("sig", lambda v: v != 0))
+
+
+def no_pair_is_shuffled(df):
+    """Blocks meet in a product of partitions, with no exchange above it before the blocks are reduced."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("MapInArrow") : plan.index("CartesianProduct")]
+    return "Exchange" not in above
+
+
+def test_pairs_of_several_blocks(spark, monkeypatch):
+    """Links, sums, degrees, histogram and first links over many small blocks, against all pairs by hand."""
+    monkeypatch.setattr(allpairs, "LEAST", 7)
+    monkeypatch.setattr(allpairs, "TILE", 3)
+    rng = np.random.default_rng(5)
+    sigs = {int(v): rng.integers(1, 4, 12) for v in rng.choice(1000, 60, replace=False)}
+    count = {v: int(rng.integers(1, 4)) for v in sigs}
+    groups = spark.createDataFrame([(str(v), v, count[v], s.tolist()) for v, s in sigs.items()], "sig_id string, rep long, n long, sig array<bigint>")
+    shared, links = [], []
+    for a in sigs:
+        for b in sigs:
+            same = sigs[a] == sigs[b]
+            if a < b and same.reshape(6, 2).all(axis=1).any():
+                shared.append((a, b))
+                if same.mean() > 0.4:
+                    links.append((a, b, same.mean(), count[a], count[b]))
+    assert links and len(links) < len(shared)
+    got = lsh.candidate_sums(groups, (12, 6))
+    assert no_pair_is_shuffled(got) and tuple(got.first()) == (len(shared), sum(a for a, _ in shared), sum(b for _, b in shared))
+    assert sorted(map(tuple, lsh.near_duplicates(groups, (12, 6), 0.4).collect())) == sorted(links)
+    members = {}
+    for a, b, _, na, nb in links:
+        members[a], members[b] = members.get(a, 0) + nb, members.get(b, 0) + na
+    assert dict(map(tuple, lsh.linked_members(groups, (12, 6), 0.4).collect())) == members
+    weights = lsh.link_counts(groups, (12, 6), 0.4).groupBy("similarity").agg(F.sum("n_src")).collect()
+    assert {round(s, 9): n for s, n in weights} == {s: sum(x[3] * x[4] for x in links if round(x[2], 9) == s) for s in {round(x[2], 9) for x in links}}
+    nodes = sorted(members)[:5]
+    for head in (2, 0):
+        some = lsh.first_links(groups, 5, (12, 6), 0.4, head)
+        assert sorted(map(tuple, some.collect())) == sorted(x for x in links if x[0] in nodes and x[1] in nodes)
+    assert tuple(lsh.candidate_sums(groups.limit(0), (12, 6)).first()) == (0, None, None)
+
+
+def test_votes_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(allpairs, "LEAST", 40)
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.integers(1, 6)), rng.integers(1, 4, 12).tolist()) for i in range(900)]
+    train, test = rows[:700], rows[700:]
+    got = {r["review_id"]: (r["prediction"], r["n_votes"]) for r in lsh.predict(signed(spark, train), signed(spark, test), params=(12, 6)).collect()}
+    x, label = np.array([r[2] for r in train]), np.array([r[1] for r in train])
+    for key, _, s in test:
+        same = x == np.array(s)
+        sim = np.where(same.reshape(-1, 6, 2).all(axis=2).any(axis=1), same.mean(axis=1), -1)
+        best = np.lexsort((-label, -sim))[:5]
+        best = best[sim[best] > 0]
+        want = (sim[best] * label[best]).sum() / sim[best].sum() if len(best) else 3.0
+        assert got[key][1] == len(best) and abs(got[key][0] - want) < 1e-9
