@@ -100,7 +100,7 @@ def near_dup_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT src, dst, {six_sql('similarity')} AS similarity FROM pairs WHERE src IN (SELECT node FROM nodes) AND dst IN (SELECT node FROM nodes)""")
 def near_dup_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample that the network drawing shows: the first 1,000 linked nodes."""
-    return L.subgraph(L.near_duplicates(_near(spark, sf_dir)[1]), 1000).select("src", "dst", six("similarity").alias("similarity"))
+    return L.first_links(_near(spark, sf_dir)[1], 1000).select("src", "dst", six("similarity").alias("similarity"))
 
 
 @query(f"""{_PAIRS}, weighted AS (SELECT similarity, n_src * n_dst AS w FROM pairs UNION ALL SELECT CAST(1.0 AS DOUBLE), n * (n - 1) // 2 FROM groups WHERE n > 1),
