@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexiloom.functions import vectors
-from lexiloom.operators import allpairs, lsh
+from lexiloom.operators import allpairs, knn, lsh
 
 
 def test_norm_is_taken_once_a_vector(spark):
@@ -78,3 +78,57 @@ def test_votes_of_several_blocks(spark, monkeypatch):
         best = best[sim[best] > 0]
         want = (sim[best] * label[best]).sum() / sim[best].sum() if len(best) else 3.0
         assert got[key][1] == len(best) and abs(got[key][0] - want) < 1e-9
+
+
+def test_search_of_several_blocks(spark, monkeypatch):
+    """Ties across blocks go to the smallest id; no block is shuffled for a pair."""
+    for name, value in (("LEAST", 16), ("INDEX_BLOCK", 32), ("QUERY_BLOCK", 16), ("PIECE", 5), ("TOGETHER", 4)):
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(7)
+    v = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for k in (3, None):
+        found = knn.search(rows, rows.where("vec_id % 10 = 0"), k=k)
+        assert no_pair_is_shuffled(found)
+        got = sorted((r["query_id"], r["rank"], r["item_id"], r["sim"]) for r in found.collect())
+        want = []
+        for q in range(0, 300, 10):
+            order = [i for i in np.lexsort((np.arange(300), -(v @ v[q]))) if i != q][:k]
+            want += [(q, n + 1, i, float(v[i] @ v[q])) for n, i in enumerate(order)]
+        assert got == want
+
+
+def test_one_task_orders_little_more_than_the_first_rows(spark):
+    """40 tasks send 50 rows each to the one that orders them where nothing is counted first."""
+    from lexiloom.sources.reviews import first_rows
+
+    rows = spark.range(0, 400_000, 3, 40).select(((F.col("id") * 7919) % 400_000).alias("review_id"))
+    got = first_rows(rows, 50)
+    want = sorted((i * 7919) % 400_000 for i in range(0, 400_000, 3))[:50]
+    assert [r[0] for r in got.orderBy("review_id").collect()] == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=" in plan
+    assert first_rows(rows.limit(0), 50).count() == 0 and first_rows(rows.limit(7), 50).count() == 7
+
+
+def test_encoder_hashes_a_token_once(spark):
+    import zlib
+
+    from lexiloom.operators.pairs import hashing_encoder
+
+    texts = [["a", "b", "a"], [], ["é", "b"]]
+    want = np.zeros((3, 16))
+    for row, tokens in zip(want, texts):
+        for t in tokens:
+            h = zlib.crc32(t.encode())
+            row[(h >> 1) % 16] += 1 if h & 1 else -1
+    size = np.linalg.norm(want, axis=1, keepdims=True)
+    encode = hashing_encoder(16)
+    assert np.array_equal(encode(texts), np.divide(want, size, out=want, where=size > 0)) and encode([]).shape == (0, 16)
+    calls, real = [], zlib.crc32
+    zlib.crc32 = lambda t: calls.append(t) or real(t)
+    try:
+        hashing_encoder(16)([["same"] * 1000])
+    finally:
+        zlib.crc32 = real
+    assert len(calls) == 1
