@@ -15,6 +15,8 @@ from ..functions.text import alpha_words, ngrams
 # N-gram sizes, least and most document frequency, features, ridge penalty, inverse logistic penalty,
 # iterations.
 NGRAMS, MIN_DF, MAX_DF, FEATURES, ALPHA, C, ITERATIONS = (1, 2), 2, 0.95, 10_000, 1.0, 1.0, 1000
+#: Bytes of text that a task counts n-grams of.
+PART = 16 << 20
 #: The solver stops when an iteration betters the objective by a smaller share.
 TOLERANCE = 1e-5
 
@@ -23,12 +25,24 @@ def with_ngrams(docs: DataFrame, sizes: tuple[int, int] = NGRAMS) -> DataFrame:
     return docs.withColumn("ngrams", ngrams(alpha_words(F.coalesce("text", F.lit(""))), *sizes))
 
 
-def doc_freq(grams: DataFrame) -> DataFrame:
-    """ngram, df: the number of documents that hold it."""
-    return grams.select(F.explode(F.array_distinct("ngrams")).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("df"))
+def dealt(docs: DataFrame, sizes: tuple[int, int] = NGRAMS) -> tuple[DataFrame, int]:
+    """with_ngrams() of documents dealt into parts of PART bytes of text, no fewer than the session's shuffles have, and
+    the number of parts. A task has one part, however large the files are."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(-(-size // PART), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return with_ngrams(docs.repartition(n, F.xxhash64(*docs.columns)), sizes), n
 
 
-def vocabulary(grams: DataFrame, features: int | None = FEATURES, min_df: float = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
+def doc_freq(grams: DataFrame, parts: int | None = None) -> DataFrame:
+    """ngram, df: the number of documents that hold it, counted in so many parts.
+
+    Most n-grams occur once in what a task reads, so they are sent as they are: tables of them in the tasks that read
+    would be as large as the texts and save little."""
+    rows = grams.select(F.explode(F.array_distinct("ngrams")).alias("ngram"))
+    return (rows.repartition(parts, "ngram") if parts else rows.repartition("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("df"))
+
+
+def vocabulary(grams: DataFrame, features: int | None = FEATURES, min_df: float = MIN_DF, max_df: float = MAX_DF, parts: int | None = None) -> DataFrame:
     """ngram, df, idf, idx: the `features` most frequent n-grams by documents (ties by n-gram), numbered in order.
 
     Whole thresholds are counts, fractions are shares of the number of documents rounded down; both ends count.
@@ -39,7 +53,7 @@ def vocabulary(grams: DataFrame, features: int | None = FEATURES, min_df: float
     def bound(x: float):
         return F.floor(F.col("_n") * F.lit(x)) if isinstance(x, float) else F.lit(x)
 
-    kept = doc_freq(grams).join(F.broadcast(n), F.lit(True)).where(F.col("df").between(bound(min_df), bound(max_df)))
+    kept = doc_freq(grams, parts).join(F.broadcast(n), F.lit(True)).where(F.col("df").between(bound(min_df), bound(max_df)))
     if features is not None:
         kept = kept.orderBy(F.desc("df"), "ngram").limit(features)
     idx = F.row_number().over(Window.orderBy("ngram")) - 1  # over `features` rows at most
@@ -62,7 +76,8 @@ class TfidfVectorizer:
         self.features, self.sizes, self.min_df, self.max_df, self.vocab = features, sizes, min_df, max_df, None
 
     def fit(self, docs: DataFrame) -> TfidfVectorizer:
-        rows = vocabulary(with_ngrams(docs, self.sizes), self.features, self.min_df, self.max_df).collect()
+        grams, parts = dealt(docs, self.sizes)
+        rows = vocabulary(grams, self.features, self.min_df, self.max_df, parts).collect()
         return self.set([(r["ngram"], r["idf"]) for r in sorted(rows, key=lambda r: r["idx"])])
 
     def set(self, vocab: list[tuple[str, float]]) -> TfidfVectorizer:

@@ -35,21 +35,26 @@ def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("review_id", F.size("g").cast("bigint").alias("n_grams"), F.md5(F.array_join("g", ",").cast("binary")).alias("digest"))
 
 
+def _vocabulary(train: DataFrame) -> DataFrame:
+    grams, parts = V.dealt(train)
+    return V.vocabulary(grams, parts=parts)
+
+
 @query(f"{_DF} SELECT ngram, df FROM df")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.doc_freq(V.with_ngrams(splits(spark, sf_dir)[0]))
+    return V.doc_freq(*V.dealt(splits(spark, sf_dir)[0]))
 
 
 @query(f"{_DF} SELECT ngram, df, {six_sql('idf')} AS idf, CAST(idx AS INTEGER) AS idx FROM vocab")
 def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.vocabulary(V.with_ngrams(splits(spark, sf_dir)[0])).withColumn("idf", six("idf"))
+    return _vocabulary(splits(spark, sf_dir)[0]).withColumn("idf", six("idf"))
 
 
 @query(f"""{_DF}, counts AS (SELECT review_id, ngram, count(*) AS c, any_value(total) AS total FROM (SELECT review_id, len(gs) AS total, unnest(gs) AS ngram FROM grams WHERE split = 'test') GROUP BY review_id, ngram)
 SELECT review_id, CAST(idx AS INTEGER) AS idx, {six_sql('CAST(c AS DOUBLE) / total')} AS tf, {six_sql('CAST(c AS DOUBLE) / total * idf')} AS tfidf FROM counts JOIN vocab USING (ngram)""")
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = splits(spark, sf_dir)
-    out = V.vectors(V.with_ngrams(test), V.vocabulary(V.with_ngrams(train)))
+    out = V.vectors(V.with_ngrams(test), _vocabulary(train))
     return out.select("review_id", "idx", six("tf").alias("tf"), six("tfidf").alias("tfidf"))
 
 

@@ -132,3 +132,50 @@ def test_encoder_hashes_a_token_once(spark):
     finally:
         zlib.crc32 = real
     assert len(calls) == 1
+
+
+def test_ngrams_are_counted_in_parts(spark, monkeypatch):
+    """The number of parts grows with the text; n-grams are sent as they are, and no task has a table of more than its part."""
+    from collections import Counter
+
+    from lexiloom.operators import tfidf
+
+    monkeypatch.setattr(tfidf, "PART", 200)
+    texts = ["eins zwei drei", "eins zwei", "", None, "vier", "zwei eins zwei", "a1b c_d x über Ärger"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "review_id long, text string")
+    grams, parts = tfidf.dealt(docs)
+    assert parts == -(-sum(len((t or "").encode()) for t in texts) // 200) > 8
+    counted = tfidf.doc_freq(grams, parts)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "Exchange" not in plan[: plan.rindex("HashAggregate")]
+    want = Counter()
+    for t in texts:
+        words = [w for w in (t or "").lower().split() if w.isalpha() and len(w) > 1]
+        want.update({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
+    assert dict(map(tuple, counted.collect())) == want
+    assert dict(map(tuple, tfidf.doc_freq(grams).collect())) == want
+    top = tfidf.vocabulary(grams, 3, parts=parts).orderBy("idx").collect()
+    assert [r["ngram"] for r in top] == sorted(sorted(want, key=lambda g: (-want[g], g))[:3])
+
+
+def test_ngrams_of_every_size(spark):
+    """No n-gram looks its tokens up by a slice of its own."""
+    from lexiloom.functions import text as T
+
+    tokens = [["a"], [], None, ["a", "b"], ["a", "b", "c", "a"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t array<string>")
+    for lo, hi in ((1, 1), (1, 2), (2, 2), (1, 3), (3, 3)):
+        got = df.select("i", T.ngrams(F.col("t"), lo, hi).alias("g"))
+        want = [None if t is None and lo == 1 else [" ".join((t or [])[i : i + n]) for n in range(lo, hi + 1) for i in range(len(t or []) - n + 1)] for t in tokens]
+        assert [r["g"] for r in got.orderBy("i").collect()] == want
+        assert "sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_letters_are_whole_words(spark):
+    from lexiloom.functions import text as T
+
+    odd = "a1bc abc_ _abc ab\U0001d400 \U0001d400\U0001d401 x \U0001d400 e\u0301t ñandú½ ab1 1ab über² İstanbul the an"
+    rows = spark.createDataFrame([(odd,), (None,), ("",)], "text string")
+    tested = F.filter(T.words(F.col("text")), lambda w: (F.length(w) > 1) & w.rlike(r"^\p{L}+$"))
+    got = rows.select(tested.alias("a"), T.alpha_words(F.col("text")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and "istanbul" not in got[0]["b"] and "ab\U0001d400" in got[0]["b"]
