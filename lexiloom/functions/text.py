@@ -70,6 +70,18 @@ def spaced(text: Column) -> Column:
     return _all(text, f"[^{SPACE}]+")
 
 
+def first_place() -> Column:
+    """The smallest (review_id, place) of a group as one number, review_id * 2^32 + place. Groups with a least struct
+    are made by sorting all rows; a number of fixed width is kept in the hash table."""
+    return F.min(F.col("review_id").cast("decimal(20,0)") * F.lit(2**32) + F.col("place"))
+
+
+def unplaced(first: Column) -> Column:
+    """(review_id, place) of first_place()."""
+    place = F.pmod(first, F.lit(2**32))
+    return F.struct(((first - place) / F.lit(2**32)).cast("bigint").alias("review_id"), place.cast("int").alias("place"))
+
+
 def preprocess(text: Column) -> Column:
     return F.array_join(alpha_words(text), " ")
 

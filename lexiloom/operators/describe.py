@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import PALETTE, stars, valid
-from ..functions.text import alpha_words, spaced
+from ..functions.text import alpha_words, first_place, spaced
 
 # Words of a spiral cloud, font sizes, step of the angle and of the radius, largest radius.
 SPIRAL_WORDS, SMALL, LARGE, TURN, GROWTH, FURTHEST = 60, 8.0, 45.0, 0.15, 0.8 * 0.05, 400.0
@@ -18,7 +18,7 @@ SPIRAL_WORDS, SMALL, LARGE, TURN, GROWTH, FURTHEST = 60, 8.0, 45.0, 0.15, 0.8 *
 def frequencies(reviews: DataFrame, tokens: Column, groups: list[str], top: int | None = None) -> DataFrame:
     """groups, word, cnt, rank: words by number of occurrences, the one seen first on ties; the `top` of each group."""
     seen = reviews.select(*groups, "review_id", F.posexplode(tokens).alias("place", "word"))
-    counts = seen.groupBy(*groups, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("review_id", "place")).alias("_first"))
+    counts = seen.groupBy(*groups, "word").agg(F.count(F.lit(1)).alias("cnt"), first_place().alias("_first"))
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("cnt"), "_first"))
     out = counts.withColumn("rank", rank).drop("_first")
     return out if top is None else out.where(F.col("rank") <= top)

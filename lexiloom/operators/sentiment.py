@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import clamp, colour, sentiment
-from ..functions.text import alpha_words, words
+from ..functions.text import alpha_words, first_place, unplaced, words
 
 #: A word speaks beyond this sentiment; bins of the histogram; words of the coloured cloud.
 STRONG, BINS, TOP_WORDS = 0.3, 50, 100
@@ -23,9 +23,9 @@ def word_stats(reviews: DataFrame) -> DataFrame:
     """word, score (sum of the ratings of its occurrences), cnt, avg, and its first (review_id, place)."""
     seen = occurrences(reviews, alpha_words(F.col("text")))
     grouped = seen.groupBy("word").agg(
-        F.sum("rating").alias("score"), F.count(F.lit(1)).alias("cnt"), F.min(F.struct("review_id", "place")).alias("first")
+        F.sum("rating").alias("score"), F.count(F.lit(1)).alias("cnt"), first_place().alias("_at")
     )
-    return grouped.withColumn("avg", F.col("score") / F.col("cnt"))
+    return grouped.select("word", "score", "cnt", unplaced(F.col("_at")).alias("first"), (F.col("score") / F.col("cnt")).alias("avg"))
 
 
 def rating_stats(reviews: DataFrame) -> DataFrame:

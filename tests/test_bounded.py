@@ -179,3 +179,20 @@ def test_letters_are_whole_words(spark):
     tested = F.filter(T.words(F.col("text")), lambda w: (F.length(w) > 1) & w.rlike(r"^\p{L}+$"))
     got = rows.select(tested.alias("a"), T.alpha_words(F.col("text")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got) and "istanbul" not in got[0]["b"] and "ab\U0001d400" in got[0]["b"]
+
+
+def test_counts_of_words_sort_no_tokens(spark):
+    """Words by first appearance, for any ids, without a sort of all tokens."""
+    from lexiloom.functions import text as T
+    from lexiloom.operators import describe, sentiment
+
+    rows = [(-5, 1.0, "zwei eins"), (2**62 + 1, 2.0, "drei vier drei"), (2**33 * 7, 3.0, "eins vier fünf"), (9, 2.0, None)]
+    reviews = spark.createDataFrame(rows, "review_id long, rating double, text string")
+    first = {"zwei": (-5, 0), "eins": (-5, 1), "vier": (2**33 * 7, 1), "fünf": (2**33 * 7, 2), "drei": (2**62 + 1, 0)}
+    stats = sentiment.word_stats(reviews)
+    assert {r["word"]: tuple(r["first"]) for r in stats.collect()} == first
+    assert [r["word"] for r in sentiment.top_words(stats).collect()] == ["eins", "vier", "drei", "zwei", "fünf"]
+    ranked = describe.frequencies(reviews.withColumn("k", F.lit(1)), T.alpha_words(F.col("text")), ["k"])
+    assert [r["word"] for r in ranked.orderBy("rank").collect()] == ["eins", "vier", "drei", "zwei", "fünf"]
+    for df in (stats, ranked):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
