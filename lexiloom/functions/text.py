@@ -61,8 +61,11 @@ def clean(text: Column) -> Column:
 
 
 def cloud_words(text: Column, stopwords: list[str], least: int = 3) -> Column:
-    """clean() split at white space, without stop words and words under `least` characters (third tokeniser)."""
-    return F.filter(spaced(clean(text)), lambda w: ~w.isin(*stopwords) & (F.length(w) >= least))
+    """clean() split at white space, without stop words and words under `least` characters (third tokeniser).
+
+    clean() leaves word characters and white space only, so the words are runs of WORD: Java tests each letter against
+    every range of SPACE before it is found in none."""
+    return F.filter(_all(clean(text), WORD), lambda w: ~w.isin(*stopwords) & (F.length(w) >= least))
 
 
 def spaced(text: Column) -> Column:
