@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import sentiment as S
-from .registry import REVIEWS, SPLIT, placed, query, six, six_sql, split_sql, splits, t1, t2
+from .registry import REVIEWS, SPLIT, kept, placed, query, six, six_sql, split_sql, splits, t1, t2
 
 
 def stats_sql(train: str) -> str:
@@ -39,8 +39,14 @@ def fitted(spark: SparkSession, sf_dir: str, domain: str | None = None) -> tuple
     return S.word_sentiment(S.word_stats(train), overall), overall, test
 
 
+def learned(spark: SparkSession, sf_dir: str, domain: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """fitted() for predictions: sentiments are made once, as they are sized and joined with every test table."""
+    sentiments, overall, test = fitted(spark, sf_dir, domain)
+    return kept(spark, sf_dir, "sentiments", lambda: sentiments.select("word", "sentiment"), domain=domain), overall, test
+
+
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentiments, overall, test = fitted(spark, sf_dir)
+    sentiments, overall, test = learned(spark, sf_dir)
     return S.predict(test, sentiments, overall)
 
 
@@ -110,6 +116,6 @@ SELECT domain, {six_sql(f"avg({DEAD})")} AS mse, count(*) AS n FROM predicted JO
 @query(_CROSS)
 def eval_cross_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on domain A, reported on the test rows of A and of B."""
-    sentiments, overall, test_a = fitted(spark, sf_dir, "A")
+    sentiments, overall, test_a = learned(spark, sf_dir, "A")
     reports = [E.overall(S.predict(t, sentiments, overall)).select(F.lit(d).alias("domain"), six("mse").alias("mse"), "n") for d, t in (("A", test_a), ("B", splits(spark, sf_dir, "B")[1]))]
     return reports[0].unionAll(reports[1])

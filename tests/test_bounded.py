@@ -220,3 +220,14 @@ def test_cloud_words_find_words_at_once(spark):
 
     assert seconds(T.cloud_words(F.col("text"), ["und"])) < 4 * seconds(T.clean(F.col("text")))
     many.unpersist()
+
+
+def test_sentiments_are_made_once(spark):
+    """Predictions for several test tables read them, and don't count the training words anew."""
+    from lexiloom.plans import wordwise
+
+    sentiments, _, test = wordwise.learned(spark, "/root/testdata/sf0.001", "A")
+    plan = sentiments._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+    fitted, _, same = wordwise.fitted(spark, "/root/testdata/sf0.001", "A")
+    assert sorted(map(tuple, sentiments.collect())) == sorted(map(tuple, fitted.select("word", "sentiment").collect())) and test.count() == same.count()
